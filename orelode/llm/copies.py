@@ -16,7 +16,10 @@ from orelode.sources.tables import table
 # White space and invisible characters, and all punctuation but signs inside numbers: a point, comma, colon or slash
 # directly between digits, a dash between digits, a minus before a digit at the start, after a blank or a bracket.
 BLANK = r"\s ­  -‍    ⁠　﻿"
-FORM = rf"[{BLANK}]+|(?!(?<=\d)[.,:/](?=\d))(?!(?<=\d[{BLANK}]{{0,4}})-(?=[{BLANK}]{{0,4}}\d))(?!(?<=^|[{BLANK}(\[«“\"])-(?=\d))\p{{P}}"
+FORM = (
+    rf"[{BLANK}]+|[\p{{P}}&&[^.,:/\-]]+|[.,:/](?!(?<=\d.)\d)"
+    rf"|-(?!(?<=\d[{BLANK}]{{0,4}}-)[{BLANK}]{{0,4}}\d)(?!(?<=(?:^|[{BLANK}(\[«“\"])-)\d)"
+)
 END = "\u0001"
 MISSING = "\u0000"
 

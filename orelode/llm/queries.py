@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orelode.llm import copies, encoding
+from orelode.llm import copies, encoding, leakage, prose
 
-MODULES = (copies, encoding)
+MODULES = (copies, encoding, leakage, prose)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
