@@ -29,6 +29,7 @@ PLAIN = re.compile(r"^[\s\x21-\x7eа-яёА-ЯЁ«»“”„…–—‑№°·
 LATIN_RUN = re.compile(r"[À-ÿ]{3}|[\x80-\x9f]|Ã|Â|Ð|Ñ")
 ESCAPE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}%[0-9A-F]{2}")
 FLOOR = math.log(1e-7)
+USUAL = 7.0  # mean cost of a pair under which a token of plain characters needs no search
 
 
 def folded(text: str) -> str:
@@ -60,20 +61,33 @@ def pair_model(df: DataFrame, columns: list[str]) -> dict[str, float]:
     return {k: math.log(n / total) for k, n in found.items()}
 
 
+class _Table(dict):
+    """Characters to bytes (as characters) of a single-byte encoding; others to a character that stands for none."""
+
+    def __init__(self, encoding: str):
+        super().__init__()
+        for byte in range(256):
+            try:
+                self[ord(bytes([byte]).decode(encoding))] = byte
+            except UnicodeDecodeError:
+                self[byte] = byte  # bytes that the encoding leaves undefined pass as control characters
+        for control in range(0x80, 0xA0):
+            self.setdefault(control, control)
+        self[ord(LOST)] = ord("?")
+
+    def __missing__(self, key: int) -> str:
+        return "\uffff"
+
+
+TABLES = {encoding: _Table(encoding) for encoding in WRONG}
+
+
 def _bytes(text: str, encoding: str) -> bytes | None:
-    """text in a single-byte encoding; bytes that it leaves undefined pass as control characters, lost ones as ``?``."""
-    out = bytearray()
-    for ch in text:
-        try:
-            out += ch.encode(encoding)
-        except UnicodeEncodeError:
-            if ch == LOST:
-                out += b"?"
-            elif "\x80" <= ch <= "\x9f" or encoding == "cp1251" and ch == "\x98":
-                out.append(ord(ch))
-            else:
-                return None
-    return bytes(out)
+    """text in a single-byte encoding, lost characters as ``?``; None if it holds others than the encoding has."""
+    try:
+        return text.translate(TABLES[encoding]).encode("latin-1")
+    except UnicodeEncodeError:
+        return None
 
 
 def steps(text: str) -> Iterator[tuple[str, str]]:
@@ -108,6 +122,7 @@ class Repairer:
 
     def __init__(self, model: dict[str, float], limit: int = 60, step_cost: float = 1.0, gain: float = 1.2):
         self.model, self.limit, self.step_cost, self.gain = model, limit, step_cost, gain
+        self.alphabet = {ch for pair in model for ch in pair}
         self.token = lru_cache(maxsize=200_000)(self._token)
 
     def cost(self, text: str) -> float:
@@ -116,7 +131,8 @@ class Repairer:
         total = -sum(model.get(f[i : i + 2], FLOOR) for i in range(len(f) - 1)) / 4
         case = sum(a.islower() and b.isupper() for a, b in zip(text, text[1:]))
         shouted = 1.0 if len(text) > 1 and text.isupper() else 0.0
-        return total + 4 * text.count(LOST) + case + shouted
+        strange = sum(ch not in self.alphabet for ch in f)
+        return total + 4 * text.count(LOST) + case + shouted + 2 * strange
 
     def _token(self, token: str) -> tuple[str, str, float]:
         """(cheapest text, the steps to it, the gain) of a token; no steps if nothing is cheaper."""
@@ -124,6 +140,8 @@ class Repairer:
         if plain and not ESCAPE.search(token):
             return token, "", 0.0
         start = self.cost(token)
+        if start * 4 < USUAL * (len(token) + 1) and PLAIN.match(token) and not ESCAPE.search(token):
+            return token, "", 0.0
         best = (start, token, "")
         seen = {hash(token)}
         heap = [(start, 0, token, "")]
