@@ -21,7 +21,8 @@ PARAGRAPH = re.compile(r"\n\s*\n")
 SENTENCE = re.compile(r"[.!?…][\"»”)\]]*\s+")
 LINE = re.compile(r"\n")
 WORD = re.compile(r"\s+")
-REACH = ((PARAGRAPH, "paragraph", 600), (SENTENCE, "sentence", 400), (LINE, "line", 200), (WORD, "word", 10**9))
+MARK = re.compile(r"[;,|/]")
+REACH = ((PARAGRAPH, "paragraph", 600), (SENTENCE, "sentence", 400), (LINE, "line", 200), (WORD, "word", 10**9), (MARK, "mark", 10**9))
 
 
 def landmarks(text: str, every: int) -> np.ndarray:
@@ -89,7 +90,7 @@ def pieces(df: DataFrame, id_column: str, text_column: str, limit: int = 3000, o
     """The pieces of every text of df.
 
     Columns: id, piece_no from 1, start, stop (code points, with the overlap), cut (kind of boundary at its end: paragraph,
-    sentence, line, word, none, or end for the last), n_chars of the text, long_paragraphs (numbers of the paragraphs that
+    sentence, line, word, mark, none, or end for the last), n_chars of the text, long_paragraphs (numbers of the paragraphs that
     alone exceed the limit), piece. A text within the limit is one piece; a NULL or empty text gives none. Each piece but
     the first begins exactly ``overlap`` characters before the cut.
     """

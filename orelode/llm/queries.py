@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orelode.llm import chunks, copies, encoding, leakage, packing, prose
+from orelode.llm import chunks, copies, encoding, leakage, packing, prose, reference_list
 
-MODULES = (copies, encoding, chunks, packing, leakage, prose)
+MODULES = (reference_list, copies, encoding, chunks, packing, leakage, prose)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
