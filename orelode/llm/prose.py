@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.sources.tables import table
@@ -14,97 +18,123 @@ COMMON_WORDS = (
     "the of and in to a was were is are at for with by on from that as an this it be or which after before under over its than not"
 ).split()
 
-# Thresholds: a line is a row of cells from so many separators on, a list entry up to so many characters; a text is
-# judged by the share of its characters in such lines, and as a whole by the rules below.
+# Thresholds: the longest list entry and unmarked short line, in characters, and the share of the characters of a text
+# from which its lines decide; the rules for whole texts are in ``judged``.
 ENTRY_CHARS = 100
+SHORT_CHARS = 70
 SHARE = 0.5
-BULLET = r"^\s*(?:[-–—•*·▪●○◦]|\(?\d{1,4}[.)]|[a-zа-я]\)|\[\d{1,4}\])\s+"
-REFERENCE = r"^\s*\[\d{1,4}\]\s"
-COUNTED = r"^[^.!?…]*\d+ \p{L}{1,4}\.\s*$"
-CELLS = r"\t| *\| *|;(?=\s|$)| {3,}"
-MENU = r" [>»›/|] "
-INNER_END = r"[.!?…]\s+[\p{Lu}]"
-SENTENCE_END = r"[.!?…][\"»”)]*\s*$"
-
-
-FUNCTION_WORD = r"(?<!\p{L})(?:" + "|".join(COMMON_WORDS) + r")(?!\p{L})"
-
-
-def _line_kind(line: Column) -> Column:
-    """table, list, junk or prose for one line."""
-    cells = F.regexp_count(line, F.lit(CELLS))
-    tabs = line.rlike(r"\t| \| ")
-    digits = F.length(line) - F.length(F.regexp_replace(line, r"\d", ""))
-    short = F.length(line) <= ENTRY_CHARS
-    sentence = line.rlike(SENTENCE_END)
-    menu = F.regexp_count(line, F.lit(MENU)) >= 2
-    no_digit_menu = menu & (digits == 0) & ~line.contains(" | ") & ~line.contains("\t")
-    longest = F.length(F.regexp_replace(line, r"^.*?(\S{30,}).*$|^.*$", "$1"))
-    blob = (longest >= 30) & (longest * 2 > F.length(line))
-    symbols = F.length(F.regexp_replace(line, r"[\p{L}\p{N}\s]", ""))
+COMMON = frozenset(COMMON_WORDS)
+WORDS = re.compile(r"[^\W\d_]+")
+LINE_END = re.compile(r"\r\n|\r|\n")
+BULLET = re.compile(r"\s*(?:[-–—•*·▪●○◦]|\(?\d{1,4}[.)]|[a-zа-я]\)|\[\d{1,4}\])\s+")
+REFERENCE = re.compile(r"\s*\[\d{1,4}\]\s")
+CELLS = re.compile(r"\t| *\| *|;(?=\s|$)| {3,}")
+MENU = re.compile(r" [>»›/] ")
+BLOB = re.compile(r"\S{30,}")
+SENTENCE_END = re.compile(r"[.!?…][\"»”)]*\s*$")
+INNER_END = re.compile(r"[.!?…]\s+[A-ZА-ЯЁ]")
+STOP = re.compile(r"[.!?…](?:\s|$)")
+COUNTED = re.compile(r"[^.!?…]*\d+ [^\W\d_]{1,4}\.\s*$")
+
+
+def digits(text: str) -> int:
+    return sum(map(text.count, "0123456789"))
+
+
+def line_kind(line: str, sentence: bool, bullet: bool) -> str:
+    """table, list, junk, prose, or for unmarked short lines wrapped (with a function word) and entry (without)."""
+    n = len(line)
+    if n >= 30 and (m := BLOB.search(line)) and 2 * len(m[0]) > n:
+        return "junk"
+    if (">" in line or "›" in line or " / " in line or "»" in line) and len(MENU.findall(line)) >= 2 and "\t" not in line and not digits(line):
+        return "junk"
+    if n < 400 and 2 * sum(not (ch.isalnum() or ch.isspace()) for ch in line) > n:
+        return "junk"
+    if "\t" in line or " | " in line:
+        return "table"
+    if (";" in line or "   " in line or "|" in line) and len(CELLS.findall(line)) >= 2 and not (sentence and digits(line) * 8 < n):
+        return "table"
+    if bullet and (n <= ENTRY_CHARS and not sentence or n <= 60 or REFERENCE.match(line)):
+        return "list"
+    if n <= SHORT_CHARS and (not STOP.search(line) or COUNTED.match(line)):
+        return "wrapped" if any(w.lower() in COMMON for w in WORDS.findall(line)) else "entry"
+    return "prose"
+
+
+FIELDS = {
+    "chars": pa.int64(), "words": pa.int64(), "lines": pa.int64(), "mean_word_length": pa.float64(), "symbol_ratio": pa.float64(), "digit_ratio": pa.float64(),
+    "line_end_punctuation": pa.float64(), "bullet_lines": pa.float64(), "common_words": pa.float64(), "distinct_words": pa.int64(), "list_share": pa.float64(),
+    "table_share": pa.float64(), "junk_share": pa.float64(), "reasons": pa.list_(pa.string()), "text_class": pa.string(),
+}
+
+
+def judged(text: str) -> tuple:
+    """The statistics of a text in the order of FIELDS, with the rules it failed and its class."""
+    words = WORDS.findall(text)
+    n, n_words, letters = len(text), len(words), sum(map(len, words))
+    number, blank = digits(text), n - sum(map(len, text.split()))
+    common, distinct = sum(map(COMMON.__contains__, words)), len(set(words))
+    kinds = dict.fromkeys(("table", "list", "junk", "prose", "wrapped", "entry"), 0)
+    lines = ends = bullets = inner = total = longest = 0
+    for line in LINE_END.split(text) if "\r" in text else text.split("\n"):
+        if not line or line.isspace():
+            continue
+        sentence, bullet = bool(SENTENCE_END.search(line[-12:])), bool(BULLET.match(line))
+        kinds[line_kind(line, sentence, bullet)] += len(line)
+        lines += 1
+        ends += sentence
+        bullets += bullet
+        inner += bool(INNER_END.search(line))
+        total += len(line)
+        longest = max(longest, len(line))
+    ratio = lambda a, b: a / b if b else None
+    unmarked = kinds["entry"] + kinds["wrapped"]
+    # unmarked short lines are entries of a list where few of them hold a function word and few lines of the text hold
+    # the end of a sentence within, else the wrapped lines of prose
+    entries = unmarked if kinds["wrapped"] < 0.35 * unmarked and inner < 0.25 * lines and lines >= 3 else 0
+    list_share, table_share, junk_share = (ratio(x, total) for x in (kinds["list"] + entries, kinds["table"], kinds["junk"]))
+    reasons = []
+    structured = bool(total) and list_share + table_share > SHARE
+    symbols = max(n - letters - number - blank, 0)
+    if not total:
+        reasons.append("empty")
+    elif junk_share > SHARE:
+        reasons.append("junk_lines")
+    if n and symbols > 0.5 * n:
+        reasons.append("symbols")
+    if not structured and (n_words >= 10 and distinct * 5 <= n_words and distinct <= 20 or distinct < 0.04 * n_words):
+        reasons.append("repetition")
+    if not structured and number > 0.5 * n:
+        reasons.append("numbers")
+    if not structured and longest > 100 and n_words >= 10 and common < 0.05 * n_words and ends < 0.3 * lines:
+        reasons.append("no_common_words")
+    junk = bool(reasons)
+    if structured:
+        reasons.append("table_rows" if table_share >= list_share else "list_entries")
+    kind = "junk" if junk else ("table" if table_share >= list_share else "list") if structured else "prose"
     return (
-        F.when(no_digit_menu | blob | (symbols * 2 > F.length(line)), "junk")
-        .when((cells >= 2) & ~(sentence & (digits * 8 < F.length(line))), "table")
-        .when(tabs, "table")
-        .when(line.rlike(REFERENCE) | line.rlike(BULLET) & (short & ~sentence | (F.length(line) <= 60)), "list")
-        .when((F.length(line) <= 70) & (~line.rlike(r"[.!?…](\s|$)") | line.rlike(COUNTED)), F.when(line.rlike(FUNCTION_WORD), "wrapped").otherwise("entry"))
-        .otherwise("prose")
-    )
+        n, n_words, lines, ratio(letters, n_words), ratio(symbols, n), ratio(number, n), ratio(ends, lines), ratio(bullets, lines), ratio(common, n_words),
+        distinct, list_share, table_share, junk_share, reasons, kind,
+    )
 
 
 def described(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row a document: its statistics, text_class and the reasons, one for each rule that failed.
+    """One row a document: its id, statistics, the reasons, one for each rule that failed, and text_class.
 
-    Columns: the id, chars, words, lines, mean_word_length, symbol_ratio, digit_ratio, line_end_punctuation, bullet_lines,
-    common_words, distinct_words, list_share, table_share, junk_share, reasons, text_class (prose, list, table or junk).
-    Texts without any character that isn't blank are junk, for the reason ``empty``. Other columns of df aren't kept.
+    text_class is prose, list, table or junk. NULL, empty and blank texts are junk for the reason ``empty``, with shares
+    that are NULL. Other columns of df aren't kept; repeated rows give a row each.
     """
-    base = df.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("t"))
-    base = base.select(
-        id_column, "t", F.filter(F.split("t", r"[^\p{L}]+"), lambda w: w != "").alias("w"),
-        F.transform(F.filter(F.split("t", r"\r\n|\r|\n"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.length(x).alias("n"), _line_kind(x).alias("kind"), x.rlike(SENTENCE_END).alias("end"), x.rlike(BULLET).alias("bullet"), x.rlike(INNER_END).alias("inner"))).alias("l"),
-    )
-    length = lambda rows: F.aggregate(rows, F.lit(0), lambda s, x: s + x["n"])
-    of = lambda kind: length(F.filter("l", lambda x: x["kind"] == kind))
-    ratio = lambda a, b: F.when(b > 0, a / b)
-    chars = F.length("t")
-    stats = base.select(
-        id_column, chars.cast("bigint").alias("chars"), F.size("w").cast("bigint").alias("words"), F.size("l").cast("bigint").alias("lines"),
-        ratio(F.length(F.array_join("w", "")), F.size("w")).alias("mean_word_length"),
-        ratio(F.length(F.regexp_replace("t", r"[\p{L}\p{N}\s]+", "")), chars).alias("symbol_ratio"),
-        ratio(F.length(F.regexp_replace("t", r"[^0-9]+", "")), chars).alias("digit_ratio"),
-        ratio(F.size(F.filter("l", lambda x: x["end"])), F.size("l")).alias("line_end_punctuation"),
-        ratio(F.size(F.filter("l", lambda x: x["bullet"])), F.size("l")).alias("bullet_lines"),
-        ratio(F.size(F.filter("w", lambda x: x.isin(*COMMON_WORDS))), F.size("w")).alias("common_words"),
-        F.size(F.array_distinct("w")).cast("bigint").alias("distinct_words"),
-        length(F.col("l")).alias("_n"), of("list").alias("_list"), of("entry").alias("_entry"), of("wrapped").alias("_wrapped"), of("table").alias("_table"), of("junk").alias("_junk"),
-        F.size(F.filter("l", lambda x: x["inner"])).alias("_inner"), F.exists("l", lambda x: x["n"] > 100).alias("_long"),
-    )
-    # unmarked short lines are entries of a list where few of them hold a function word and few lines of the text hold
-    # the end of a sentence within, else the wrapped lines of prose
-    unmarked = F.col("_entry") + F.col("_wrapped")
-    entries = F.when((F.col("_wrapped") < 0.35 * unmarked) & (F.col("_inner") < 0.25 * F.col("lines")) & (F.col("lines") >= 3), unmarked).otherwise(0)
-    stats = stats.select(
-        "*", ratio(F.col("_list") + entries, F.col("_n")).alias("list_share"), ratio(F.col("_table"), F.col("_n")).alias("table_share"), ratio(F.col("_junk"), F.col("_n")).alias("junk_share")
-    )
-    common = F.coalesce("common_words", F.lit(0.0))
-    structured = F.coalesce(F.col("list_share") + F.col("table_share") > SHARE, F.lit(False))
-    rules = {
-        "empty": F.col("_n") == 0,
-        "junk_lines": F.col("junk_share") > SHARE,
-        "symbols": F.col("symbol_ratio") > 0.5,
-        "repetition": ~structured & ((F.col("words") >= 10) & (F.col("distinct_words") * 5 <= F.col("words")) & (F.col("distinct_words") <= 20) | (F.col("distinct_words") < 0.04 * F.col("words"))),
-        "numbers": ~structured & (F.col("digit_ratio") > 0.5),
-        "no_common_words": ~structured & F.col("_long") & (F.col("words") >= 10) & (common < 0.05) & (F.coalesce("line_end_punctuation", F.lit(0.0)) < 0.3),
-    }
-    junk = [F.when(rule, F.lit(name)) for name, rule in rules.items()]
-    shape = F.when(structured, F.when(F.col("table_share") >= F.col("list_share"), "table_rows").otherwise("list_entries"))
-    stats = stats.withColumn("_junk_reasons", F.array_compact(F.array(*junk))).withColumn("_shape", shape)
-    return stats.select(
-        *[c for c in stats.columns if not c.startswith("_")],
-        F.array_compact(F.array_append("_junk_reasons", F.col("_shape"))).alias("reasons"),
-        F.when(F.size("_junk_reasons") > 0, "junk").when(F.col("_shape") == "table_rows", "table").when(F.col("_shape") == "list_entries", "list").otherwise("prose").alias("text_class"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [judged(t or "") for t in batch.column(1).to_pylist()]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(FIELDS.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *FIELDS])
+
+    names = {pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.list_(pa.string()): "array<string>"}
+    schema = "id long, " + ", ".join(f"{c} {names[k]}" for c, k in FIELDS.items())
+    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column)).mapInArrow(run, schema)
+    return rows.withColumnRenamed("id", id_column)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
