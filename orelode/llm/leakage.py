@@ -166,8 +166,12 @@ def matches(
                         a, b = np.searchsorted(g, (low, high))
                         gd, pd_ = g[a:b], p[a:b]
                         here = centres[(centres + n >= low) & (centres < high)]
-                        gap = np.abs((gd - pd_)[:, None] - here[None, :]).min(axis=1) if len(here) else np.full(len(gd), 99)
-                        keep = gap <= 2 * drift
+                        if not len(here):
+                            continue
+                        diagonal = gd - pd_
+                        i = np.searchsorted(here, diagonal)
+                        nearest = np.minimum(np.abs(diagonal - here[np.maximum(i - 1, 0)]), np.abs(diagonal - here[np.minimum(i, len(here) - 1)]))
+                        keep = nearest <= 2 * drift
                         stretches = [s for s in align(gd[keep], pd_[keep]) if s[0] >= shortest and s[0] >= density * (max(s[2] - s[1], s[4] - s[3]) + 1)]
                         if not stretches:
                             continue

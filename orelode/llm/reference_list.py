@@ -134,7 +134,7 @@ class Reference:
                 entries_of.setdefault(t, set()).add(i)
         n = len({i for i, _ in self.forms}) or 1
         self.weight = {t: math.log(1 + n / len(s)) for t, s in entries_of.items()}
-        self.unknown = math.log(1 + n)
+        self.longest = max((len(form) for _, form in self.forms), default=0)
         self.by_token: dict[str, list[int]] = {}
         for k, (_, form) in enumerate(self.forms):
             for t in set(form):
@@ -165,6 +165,8 @@ class Reference:
         if len(words) == 1 and (a := acronym(words[0])) in self.acronyms:
             return self.acronyms[a], 1.0
         best = (0, 0.0)
+        if len(words) > self.longest + 1:
+            return best
         for variant in [words, *([*words[:k], (words[k] + words[k + 1]), *words[k + 2 :]] for k in range(len(words) - 1))]:
             options = [repairs.get(w, []) for w in variant]
             if not options or not all(options):
