@@ -15,6 +15,7 @@ from orelode.functions.nulls import NULL_TEXTS
 
 WS = r"[\s\x0B\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 LETTERS = "A-Za-zА-Яа-яЁё"
+ODD_SPACE = r"[\x09-\x0D\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|  "
 
 # Endings that the light stemmer takes off, the longest first; the first that fits counts.
 STEM_ENDINGS = (
@@ -27,8 +28,11 @@ FOREIGN = ("казахстан", "чили", "перу", "канад", "финл
 
 
 def collapse_spaces(text: Column) -> Column:
-    """White space of any kind to one blank, none at the ends; NULL stays NULL."""
-    return F.trim(F.regexp_replace(text, WS + "+", " "))
+    """White space of any kind to one blank, none at the ends; NULL stays NULL.
+
+    Most texts hold single blanks only; the replacement runs where there is something else.
+    """
+    return F.trim(F.when(text.rlike(ODD_SPACE), F.regexp_replace(text, WS + "+", " ")).otherwise(text))
 
 
 def clean_value(text: Column) -> Column:

@@ -27,9 +27,9 @@ def synonym_table(synonyms: DataFrame) -> DataFrame:
 
 
 def with_canonical(df: DataFrame, column: str, table: DataFrame, into: str) -> DataFrame:
-    """df with the entity name of column: lower case, the canonical synonym if there is one, and no alias in brackets."""
+    """df with the entity name of a cleaned column: lower case, the canonical synonym if there is one, no alias in brackets."""
     key = f"_{into}"
-    joined = df.withColumn(key, F.lower(collapse_spaces(F.col(column)))).join(table.select(F.col("alias").alias(f"{key}_alias"), F.col("canonical").alias(f"{key}_name")), F.col(key) == F.col(f"{key}_alias"), "left")
+    joined = df.withColumn(key, F.lower(column)).join(table.select(F.col("alias").alias(f"{key}_alias"), F.col("canonical").alias(f"{key}_name")), F.col(key) == F.col(f"{key}_alias"), "left")
     base, _ = paren_alias(F.coalesce(f"{key}_name", key))
     return joined.withColumn(into, base).drop(key, f"{key}_alias", f"{key}_name")
 
