@@ -165,7 +165,9 @@ class Repairer:
             return value, False, True
         tokens = value.split(" ")
         found = [self.token(t) for t in tokens]
-        strong = {p for t, (x, p, g) in zip(tokens, found) if p and g >= self.gain * min(max(len(x), 3), 6) / 2 + 1}
+        # between two encodings of the same letters only longer words are proof, as acronyms are rare pairs too
+        enough = lambda t, x: len(t) >= 5 or not PLAIN.match(t)
+        strong = {p for t, (x, p, g) in zip(tokens, found) if p and g >= self.gain * min(max(len(x), 3), 6) / 2 + 1 and enough(t, x)}
         lost = LOST in value
         if not strong:
             return value, lost, not lost
