@@ -137,4 +137,27 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_records": p2_records}
-SQL: dict[str, str] = {}
+
+_BLANK = r"\s\x{a0}\x{ad}\x{1680}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}"
+
+
+def _canonical_sql(x: str) -> str:
+    """canonical as SQL without lookaround: kept signs become control characters first, twice, as neighbours share digits."""
+    t = f"translate(lower({x}), '‐‑‒–—―−', '-------')"
+    for i, sign in enumerate(".,:/", 1):
+        for _ in range(2):
+            t = rf"regexp_replace({t}, '(\d)[{sign}](\d)', '\1' || chr({i}) || '\2', 'g')"
+    for _ in range(2):
+        t = rf"regexp_replace({t}, '(\d)[{_BLANK}]{{0,4}}-[{_BLANK}]{{0,4}}(\d)', '\1' || chr(5) || '\2', 'g')"
+    t = rf"""regexp_replace({t}, '(^|[{_BLANK}(\[«“"])-(\d)', '\1' || chr(6) || '\2', 'g')"""
+    return rf"coalesce(regexp_replace({t}, '[{_BLANK}]+|\p{{P}}', '', 'g'), chr(7))"
+
+
+_KEYED = f"""k AS (SELECT *, list_sort([{_canonical_sql('material')}, {_canonical_sql('process')}]) AS a, {_canonical_sql('source_quote')} AS q, {_canonical_sql('result_property')} AS p,
+  {_canonical_sql('result_value')} AS v FROM facts WHERE source_quote IS NOT NULL),
+m AS (SELECT *, min(fact_id) OVER (PARTITION BY a, q, p, v) AS first, count(*) OVER (PARTITION BY a, q, p, v) AS copies FROM k)"""
+SQL = {
+    "p2_found": f"WITH {_KEYED} SELECT first AS fact_id_a, fact_id AS fact_id_b FROM m WHERE fact_id <> first",
+    "p2_records": f"""WITH {_KEYED} SELECT fact_id, material, process, source_quote, result_property, result_value, copies FROM m WHERE fact_id = first
+      UNION ALL SELECT fact_id, material, process, source_quote, result_property, result_value, 1 FROM facts WHERE source_quote IS NULL""",
+}
