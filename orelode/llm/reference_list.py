@@ -271,11 +271,14 @@ def mapped_facts(facts: DataFrame, entries: DataFrame) -> DataFrame:
     typed = rows.where(F.col("exact_id").isNull() & ~is_null_like(F.col("value"))).select("value").distinct()
     checked = repaired(typed, ["value"], pair_model(facts, ["material", "process"]))
     sound = checked.where(~F.col("value__garbled")).select("value")
-    found = mapped(sound, entries).withColumn("sound", F.lit(True))
-    joined = rows.join(found, "value", "left")
+    found = mapped(sound, entries)
+    # only typed values are joined; missing and exact ones would be hot keys
     null_like = is_null_like(F.col("value"))
-    joined = joined.where(F.col("exact_id").isNotNull() | null_like | F.col("sound"))
-    return joined.select("fact_id", "field", "value", F.when(~null_like, F.coalesce("exact_id", "canonical_id")).alias("canonical_id"), F.when(F.col("exact_id").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"), F.col("exact_id").isNotNull().alias("exact"))
+    id_, score = F.col("canonical_id"), F.col("score")
+    typed_rows = rows.where(F.col("exact_id").isNull() & ~null_like).join(found, "value")
+    known = rows.where(F.col("exact_id").isNotNull()).select("fact_id", "field", "value", F.col("exact_id").alias("canonical_id"), F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
+    missing = rows.where(F.col("exact_id").isNull() & null_like).select("fact_id", "field", "value", F.lit(None).cast("bigint").alias("canonical_id"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("exact"))
+    return typed_rows.select("fact_id", "field", "value", id_, score, F.lit(False).alias("exact")).unionByName(known).unionByName(missing)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
