@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -202,9 +203,10 @@ def leaked(corpus: DataFrame, items: DataFrame, block: int = 5_000) -> DataFrame
     repeated texts match each on its own.
     """
     result = None
-    query = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").toLocalIterator()]
-    for i in range(0, max(len(query), 1), block):
-        part = query[i : i + block]
+    query = ((r["item_id"], r["text"]) for r in items.select("item_id", "text").toLocalIterator())
+    for part in chain(batched(query, block), ((),)):  # the empty block at the end gives a result without items
+        if not part and result is not None:
+            break
         terms = {w for _, t in part if t for w in tokens(t)}
         index = stored(positional_index(corpus, "doc_id", "text", terms), "postings")
         counts = {r["term"]: r["n"] for r in term_counts(index).collect()}  # at most the terms of the block
