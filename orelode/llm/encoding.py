@@ -1,7 +1,8 @@
 """Text decoded with a wrong character encoding: found, and restored as far as it can be.
 
 Each blank-separated token of a value is searched best-first over encode, decode and unescape steps; visited states are
-kept by hash, and the cost of a state is how implausible its character pairs are under a model counted over all rows.
+kept by hash, and the cost of a state is how implausible its character pairs are under a model counted over the distinct
+values, without those that a step between encodings of the same letters makes more plausible.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orelode.session import stored
 from orelode.sources.tables import table
 
 # Single-byte encodings that text is wrongly read with, and what the bytes may really be.
@@ -30,6 +32,9 @@ LATIN_RUN = re.compile(r"[À-ÿ]{3}|[\x80-\x9f]|Ã|Â|Ð|Ñ")
 ESCAPE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}%[0-9A-F]{2}")
 FLOOR = math.log(1e-7)
 USUAL = 7.0  # mean cost of a pair under which a token of plain characters needs no search
+# Encodings of the same letters; a text read with the wrong one of them may still be of plain characters.
+CYRILLIC = ("cp1251", "koi8-r", "cp866")
+ROUNDS = 2  # times that the model is counted anew without the values that it finds garbled
 
 
 def folded(text: str) -> str:
@@ -37,30 +42,50 @@ def folded(text: str) -> str:
     return " " + re.sub(r"\d", "0", re.sub(r"\s", " ", text.lower())) + " "
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        tokens: Counter = Counter()
-        for column in batch.columns:
-            for value, n in Counter(column.to_pylist()).items():
-                if value and (PLAIN.match(value) or not LATIN_RUN.search(value) and LOST not in value and not re.search(r"[А-яёЁ][^\W\dА-яёЁ_]|[─-▟]|[Ђ-џґ]", value)):
-                    for t in re.split(r"\s+", value):
-                        tokens[t] += n
-        pairs: Counter = Counter()
-        for t, n in tokens.items():
-            f = folded(t)
-            for i in range(len(f) - 1):
-                pairs[f[i : i + 2]] += n
-        yield pa.RecordBatch.from_arrays([pa.array(pairs.keys(), pa.string()), pa.array(pairs.values(), pa.int64())], names=["pair", "n"])
+def _countable(value: str) -> bool:
+    """Whether value may be clean by its characters alone."""
+    return bool(PLAIN.match(value) or not LATIN_RUN.search(value) and LOST not in value and not re.search(r"[А-яёЁ][^\W\dА-яёЁ_]|[─-▟]|[Ђ-џґ]", value))
 
 
-def pair_model(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Logarithms of the shares of character pairs over all clean values; at most the square of the alphabet in size."""
-    counted = df.select(*columns).mapInArrow(_pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def _pairs(values: DataFrame, model: dict[str, float] | None) -> dict[str, float]:
+    """Logarithms of the shares of character pairs over values, without those that ``model``, if given, finds exchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repairer = Repairer(model) if model else None
+        for batch in batches:
+            tokens: Counter = Counter()
+            for value in batch.column(0).to_pylist():
+                if _countable(value):
+                    parts = value.split()
+                    if not (repairer and repairer.exchanged(parts)):
+                        tokens.update(parts)
+            pairs: Counter = Counter()
+            for t, n in tokens.items():
+                f = folded(t)
+                for i in range(len(f) - 1):
+                    pairs[f[i : i + 2]] += n
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.keys(), pa.string()), pa.array(pairs.values(), pa.int64())], names=["pair", "n"])
+
+    counted = values.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     found = {r["pair"]: r["n"] for r in counted.collect()}
     total = sum(found.values()) or 1
     return {k: math.log(n / total) for k, n in found.items()}
 
 
+def pair_model(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Logarithms of the shares of character pairs over all clean values; at most the square of the alphabet in size.
+
+    Every distinct value counts once, so that no repeated one makes its own pairs usual. Garbled values of plain letters
+    are left out by the model of all: the pairs of a garbled text are rarer than those of the original as long as most
+    distinct values are clean.
+    """
+    values = stored(df.select(F.explode(F.array(*columns)).alias("value")).where("value <> ''").distinct(), "values")
+    model = _pairs(values, None)
+    for _ in range(ROUNDS):
+        model = _pairs(values, model)
+    return model
+
+
 class _Table(dict):
     """Characters to bytes (as characters) of a single-byte encoding; others to a character that stands for none."""
 
@@ -124,6 +149,8 @@ class Repairer:
         self.model, self.limit, self.step_cost, self.gain = model, limit, step_cost, gain
         self.alphabet = {ch for pair in model for ch in pair}
         self.token = lru_cache(maxsize=200_000)(self._token)
+        self.gains = lru_cache(maxsize=200_000)(self._gains)
+        self.doubtful = lru_cache(maxsize=200_000)(self._doubtful)
 
     def cost(self, text: str) -> float:
         """Implausibility: minus the logarithms of the pair shares, summed, over what usual pairs have."""
@@ -134,13 +161,37 @@ class Repairer:
         strange = sum(ch not in self.alphabet for ch in f)
         return total + 4 * text.count(LOST) + case + shouted + 2 * strange
 
+    def _gains(self, token: str) -> tuple[float, ...]:
+        """What the token gains by each step between two encodings of the same letters; 0 where it can't be taken."""
+        gains, start = [], None
+        for wrong in CYRILLIC:
+            raw = None if token.isascii() else _bytes(token, wrong)
+            for real in CYRILLIC:
+                if real != wrong:
+                    new = raw.decode(real, "replace") if raw else token
+                    if new == token or not PLAIN.match(new):
+                        gains.append(0.0)
+                    else:
+                        start = self.cost(token) if start is None else start
+                        gains.append(start - self.cost(new))
+        return tuple(gains)
+
+    def _doubtful(self, token: str) -> bool:
+        return not token.isascii() and max(self.gains(token)) > 0
+
+    def exchanged(self, tokens: list[str]) -> bool:
+        """Whether some step between two encodings of the same letters makes the tokens of a value clearly cheaper."""
+        if not any(map(self.doubtful, tokens)):
+            return False
+        return max(map(sum, zip(*(self.gains(t) for t in tokens)))) >= self.gain * 3 + 1
+
     def _token(self, token: str) -> tuple[str, str, float]:
         """(cheapest text, the steps to it, the gain) of a token; no steps if nothing is cheaper."""
         plain = token.isascii()
         if plain and not ESCAPE.search(token):
             return token, "", 0.0
         start = self.cost(token)
-        if start * 4 < USUAL * (len(token) + 1) and PLAIN.match(token) and not ESCAPE.search(token):
+        if start * 4 < USUAL * (len(token) + 1) and PLAIN.match(token) and not ESCAPE.search(token) and max(self.gains(token)) <= 0:
             return token, "", 0.0
         best = (start, token, "")
         seen = {hash(token)}
@@ -166,7 +217,7 @@ class Repairer:
         tokens = value.split(" ")
         found = [self.token(t) for t in tokens]
         # between two encodings of the same letters only longer words are proof, as acronyms are rare pairs too
-        enough = lambda t, x: len(t) >= 5 or not PLAIN.match(t)
+        enough = lambda t, x: sum(map(str.isalpha, t)) >= 5 or not PLAIN.match(t)
         strong = {p for t, (x, p, g) in zip(tokens, found) if p and g >= self.gain * min(max(len(x), 3), 6) / 2 + 1 and enough(t, x)}
         lost = LOST in value
         if not strong:

@@ -84,6 +84,20 @@ def test_encoding_edge_cases(spark):
     assert encoding.repaired(df.where("id > 9"), ["t"]).count() == 0
 
 
+def test_garbled_values_on_many_rows(spark):
+    rng = random.Random(5)
+    words = sorted({w for w in "степень очистки раствора достигла после обжига остаток сушили и направляли на анализ а газ отводили через скруббер в течение часа извлечение железа из медного шлака при цементации составило прочность брикетов".split()})
+    text = lambda: " ".join(rng.choice(words) for _ in range(8)).capitalize()
+    swap = lambda t: t.encode("koi8-r").decode("cp1251")
+    clean = [text() for _ in range(200)]
+    hot, many = swap(text()), [swap(text()) for _ in range(90)]
+    for garbled, copies_of in (([hot], 100), (many, 1)):
+        rows = [*clean, *garbled * copies_of]
+        df = spark.createDataFrame(list(enumerate(rows)), "id long, t string").repartition(5)
+        found = {r["t"]: r["t__garbled"] for r in encoding.repaired(df, ["t"]).collect()}
+        assert [t for t in garbled if not found[t]] == [] and [t for t in clean if found[t]] == []
+
+
 # reference list
 
 ENTRIES = [(1, "сурьмянистый агломерат", ["сурьмянистые агломераты"]), (2, "золотосодержащий штейн", ["gold-bearing matte", "ЗШ"]), (3, "свинцово-цинковый кек", []), (4, "криолит", ["cryolite"]), (5, "свинцовая пыль", None), (6, "электроэкстракция", ["ЭЭ"])]
