@@ -124,6 +124,15 @@ def rewritten(name: str) -> tuple[str, str, str, str, str, str]:
     return "other", latin(re.sub(r"\W+", " ", name)).strip(), "", "", "", ""
 
 
+def rest(name: str) -> str | None:
+    """The legal form and laboratory of the name of an organisation, by the words of its full form; None without a form."""
+    text = re.sub(r"\s+", " ", name.replace("ё", "е").replace("Ё", "Е"))
+    lab = m[1].lstrip("0") if (m := LAB.search(text)) else ""
+    words = {w.lower() for w in re.findall(r"[^\W\d_]+", QUOTED.sub(" ", LAB.sub(" ", text)))}
+    forms = {k for k, full in KINDS.items() if latin(k) in map(latin, words) or set(map(latin, re.findall(r"[^\W\d_]+", full))) <= set(map(latin, words))}
+    return f"{' '.join(sorted(forms))}|{lab}" if forms else None
+
+
 def shortened(core: str) -> set[str]:
     """core and what is left of it without one letter, and for long ones without two."""
     deep = 2 if len(core) >= 8 else 1 if len(core) >= 5 else 0
@@ -131,27 +140,40 @@ def shortened(core: str) -> set[str]:
 
 
 def _spelling_of(cores: DataFrame) -> DataFrame:
-    """(core, main): for each core that a clearly commoner one is within two slips of the pen from, the commonest such.
+    """(core, main): for each core with others that are its misspellings, the commonest of all that are linked with it.
 
-    cores has core and n, the number of rows. Two cores are compared only where they share a rewriting that lacks letters.
+    cores has core, n, the number of rows, and rests, what stands beside the core in its names. Two cores are compared
+    only where they share a rewriting that lacks letters. Near ones are linked if they agree in a rest, or if one of them
+    is clearly commoner, as a misspelling is rare; links are followed to their ends.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c, n, f) for c, n in zip(*(x.to_pylist() for x in batch.columns)) for f in sorted(shortened(c))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], names=["core", "n", "form"])
+            rows = [(c, f) for c in batch.column(0).to_pylist() for f in sorted(shortened(c))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["core", "form"])
 
-    forms = stored(cores.select("core", "n").mapInArrow(explode, "core string, n long, form string"), "forms")
-    other = forms.select(F.col("core").alias("main"), F.col("n").alias("main_n"), "form")
-    pairs = forms.join(other, "form").where("core <> main and main_n >= 3 * n and abs(length(core) - length(main)) <= 2").select("core", "main", "main_n").distinct()
+    cores = stored(cores.select("core", "n", "rests"), "cores")
+    forms = stored(cores.select("core").mapInArrow(explode, "core string, form string"), "forms")
+    other = forms.select(F.col("core").alias("main"), "form")
+    pairs = forms.join(other, "form").where("core < main and abs(length(core) - length(main)) <= 2").select("core", "main").distinct()
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [distance(a, b, 2) <= (2 if len(a) >= 8 else 1) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            keep = [distance(a, b, 2) <= (2 if max(len(a), len(b)) >= 8 else 1) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    close = pairs.mapInArrow(near, "core string, main string, main_n long")
-    return close.groupBy("core").agg(F.max_by("main", F.struct("main_n", "main")).alias("main"))
+    close = pairs.mapInArrow(near, "core string, main string")
+    close = close.join(cores, "core").join(cores.select(F.col("core").alias("main"), F.col("n").alias("main_n"), F.col("rests").alias("main_rests")), "main")
+    close = close.where("arrays_overlap(rests, main_rests) or greatest(n, main_n) >= 3 * least(n, main_n)").select("core", "main")
+    links = stored(close.unionByName(close.select(F.col("main").alias("core"), F.col("core").alias("main"))), "links")
+    # every core takes the commonest label of its neighbours until none changes
+    ends = stored(links.select("core").distinct().join(cores, "core").select("core", F.struct("n", "core").alias("label")), "ends")
+    while True:
+        around = links.join(ends.select(F.col("core").alias("main"), "label"), "main").select("core", "label")
+        after = stored(around.unionByName(ends).groupBy("core").agg(F.max("label").alias("label")), "ends")
+        if after.join(ends.withColumnRenamed("label", "before"), "core").where("label <> before").isEmpty():
+            return after.select("core", F.col("label.core").alias("main")).where("core <> main")
+        ends = after
 
 
 def _people(key: tuple, group: pa.Table) -> pa.Table:
@@ -200,15 +222,15 @@ def entities(names: DataFrame) -> DataFrame:
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ["kind", "core", "first", "second", "given", "extra"]
+        columns = ["kind", "core", "first", "second", "given", "extra", "rest"]
         for batch in batches:
-            rows = [rewritten(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.string()) for i in range(6))], names=["name", "n", *columns])
+            rows = [(*(r := rewritten(x)), rest(x) if r[0] == "org" else f"{r[2]}|{r[3]}" if r[3] else None) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.string()) for i in range(7))], names=["name", "n", *columns])
 
-    fields = "name string, n long, kind string, core string, first string, second string, given string, extra string"
+    fields = "name string, n long, kind string, core string, first string, second string, given string, extra string, rest string"
     parsed = stored(names.select("name", F.col("n").cast("bigint")).mapInArrow(parse, fields), "names")
     kind = F.when(F.col("kind") == "word", "org").otherwise(F.col("kind")).alias("kind")
-    cores = parsed.where("kind in ('org', 'person', 'word')").groupBy(kind, "core").agg(F.sum("n").alias("n"))
+    cores = parsed.where("kind in ('org', 'person', 'word')").groupBy(kind, "core").agg(F.sum("n").alias("n"), F.collect_set("rest").alias("rests"))
     main = None
     for k in ("org", "person"):
         found = _spelling_of(cores.where(F.col("kind") == k)).withColumn("main_kind", F.lit(k))

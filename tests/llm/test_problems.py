@@ -174,6 +174,16 @@ def test_spellings_of_names(spark):
     assert names.linked(df.where("n < 0")).count() == 0
 
 
+def test_misspelt_names_of_similar_counts(spark):
+    rows = [
+        ("Кафедра металлургии цветных металлов «Пимугисист»", 41), ("каф. МЦМ «Пипугисист»", 17), ("ООО «Мекефизалаб»", 16), ("ООО «Меекефизалаб»", 8), ("ООО «Меекефизаллаб»", 8),
+        ("НТЦ «Зенофумунс»", 1), ("Научно-технический центр «Зенофуунс»", 1), ("ИГИ «Вигизуникс»", 14), ("ПБПА «Вигизунист»", 12), ("Бедозупоук И.А.", 2), ("И.А. Бедозпуоук", 2), ("Бедозпуоук Л.Л.", 2),
+    ]
+    found = {(r["name_a"], r["name_b"]) for r in names.linked(spark.createDataFrame(rows, "name string, n long")).collect()}
+    groups = [[rows[0][0], rows[1][0]], [x for x, _ in rows[2:5]], [rows[5][0], rows[6][0]], [rows[9][0], rows[10][0]]]
+    assert found == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
 def test_typed_names_leave_out_what_is_no_single_name(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,), ("н/д",), ("a; b",), ("",), (" нет ",)], "x string")
     assert [(r["name"], r["n"]) for r in names.typed_names(df, "x").collect()] == [("a", 2)]
