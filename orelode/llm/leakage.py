@@ -1,18 +1,20 @@
 """Evaluation passages inside a corpus, found through a positional inverted index.
 
-The index is partitioned by documents: each row is a segment of some documents with, for every term, the positions at
-which it stands. Items are looked up segment by segment: the lists of the rarest terms of an item are shifted by the
-place of the term in the item and intersected; where some agree, all terms of the item are aligned around that place.
+The index holds every term of every document: a row for each term and segment, a segment being some neighbouring
+documents, with the places at which the term stands. It is built once, whatever the items are. The rarest terms of the
+items are joined to it by term; their lists, shifted by the place of the term in the item, are intersected, and where
+enough of them agree the document is opened and all of its words are aligned with the item.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import batched, chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,78 +22,167 @@ from orelode.session import stored
 from orelode.sources.tables import table
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)?|[^\W\d_]+")
-INDEX = "segment string, terms array<string>, starts array<int>, places array<int>, docs array<long>, bounds array<int>"
-GAP = 1_000  # positions between two documents of a segment; no alignment goes over it
+INDEX = "segment long, term string, n int, places array<int>, docs array<long>, bounds array<int>"
+GAP = 100_000  # positions between two documents of a segment; no stretch goes over it
 SEGMENT_CHARS = 2_000_000
+SHARE, LEAST = 0.4, 12  # what of an item must stand in a document: the share of its words, and their least number
+DENSITY = 0.84  # least share of matching words in the span of a stretch, so that few are altered, added or dropped
+SHORTEST = 5  # words of the shorter of two stretches
+GROUP = 512  # items beside one copy of a text, at most
+ANCHORS = 5  # rare words that must agree in one stretch
 
 
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def positional_index(corpus: DataFrame, id_column: str, text_column: str, terms: set[str] | None = None) -> DataFrame:
-    """Segments of the positional index of corpus.
+def needed(n: int, share: float = SHARE, least: int = LEAST) -> int:
+    """Words of an item of n words that must stand in a document."""
+    return max(least, int(np.ceil(share * n)))
 
-    terms: the terms to keep postings of, all if None; positions always count every token of the text. NULL and empty
-    texts have no postings. A segment holds about SEGMENT_CHARS characters, and at least one document.
+
+def slack(n: int, density: float = DENSITY) -> int:
+    """Words that may be altered, added or dropped in a stretch of n matching words."""
+    return int(n / density + 1e-9) - n
+
+
+@lru_cache(maxsize=4096)
+def least_runs(n: int, need: int, density: float = DENSITY, shortest: int = SHORTEST) -> int:
+    """The least number of three words in a row that an item of n words shares with a document that holds ``need`` of them.
+
+    A stretch of m words with k altered ones falls into k + 1 parts at most, and a part of m words has m - 2 such runs.
+    """
+    runs = {m: max(1, m - 2 * (slack(m, density) + 1)) for m in range(shortest, n + 1)}
+    two = (runs[a] + runs[b] for a in runs for b in range(max(shortest, need - a), n - a + 1))
+    return min([runs[m] for m in range(max(need, shortest), n + 1)] + list(two), default=1)
+
+
+class Document:
+    """The words of a text with their places, and its runs of three words."""
+
+    def __init__(self, text: str):
+        words = tokens(text)
+        self.runs = set(zip(words, words[1:], words[2:]))
+        self.at: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            self.at.setdefault(w, []).append(i)
+
+
+def positional_index(corpus: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The positional index of corpus, with the columns of INDEX.
+
+    A row with a term has its places in one segment, in order, and their number n; the row of a segment without a term has
+    the ids of its documents and the place where each begins. NULL and empty texts have no places, and documents without an
+    id take no part. A segment holds about
+    SEGMENT_CHARS characters, and at least one document, so that a frequent term is spread over many rows.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context, count = TaskContext.get(), 0
+        segment = TaskContext.get().partitionId() << 32
         ids: list[int] = []
         bounds: list[int] = []
-        postings: dict[str, list[int]] = {}
+        words: list[str] = []
+        places: list[np.ndarray] = []
         place = chars = 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal place, chars, count
-            names = list(postings)
-            starts = np.cumsum([0, *map(len, postings.values())])
-            row = [f"{context.partitionId()}-{count}", names, starts.tolist(), [p for v in postings.values() for p in v], list(ids), list(bounds)]
-            ids.clear(), bounds.clear(), postings.clear()
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal place, chars, segment
+            found = pa.array(words, pa.string()).dictionary_encode()
+            code = found.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            at = np.concatenate([*places, np.empty(0, np.int32)])[order]
+            n = np.bincount(code, minlength=len(found.dictionary)).astype(np.int32)
+            starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            rows = len(n)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(at))
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(np.full(rows, segment)), found.dictionary, pa.array(n), lists, pa.nulls(rows, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int32()))], names=names
+            )
+            yield batch.take(pc.sort_indices(found.dictionary))
+            last = [pa.array([segment]), pa.nulls(1, pa.string()), pa.array([0], pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.array([ids], pa.list_(pa.int64())), pa.array([bounds], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(last, names=names)
+            ids.clear(), bounds.clear(), words.clear(), places.clear()
             place = chars = 0
-            count += 1
-            kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["segment", "terms", "starts", "places", "docs", "bounds"])
+            segment += 1
 
+        names = ["segment", "term", "n", "places", "docs", "bounds"]
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = tokens(text) if text else []
                 ids.append(doc)
                 bounds.append(place)
-                for i, t in enumerate(found, place):
-                    if terms is None or t in terms:
-                        if (at := postings.get(t)) is None:
-                            postings[t] = [i]
-                        else:
-                            at.append(i)
+                words += found
+                places.append(np.arange(place, place + len(found), dtype=np.int32))
                 place += len(found) + GAP
                 chars += len(text or "")
-                if chars >= SEGMENT_CHARS:
-                    yield flush()
+                if chars >= SEGMENT_CHARS or place > 2**31 - 2**28:
+                    yield from flush()
         if ids:
-            yield flush()
+            yield from flush()
 
-    return corpus.select(F.col(id_column).cast("bigint"), F.col(text_column)).mapInArrow(build, INDEX)
+    return corpus.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column)).where("id is not null").mapInArrow(build, INDEX)
 
 
-def term_counts(index: DataFrame) -> DataFrame:
-    """(term, n): postings of each term over all segments."""
-    sizes = F.transform(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: F.struct(F.get("terms", i).alias("term"), (F.get("starts", i + 1) - F.get("starts", i)).cast("bigint").alias("n")))
-    return index.where(F.size("terms") > 0).select(F.explode(sizes).alias("t")).groupBy("t.term").agg(F.sum("t.n").alias("n"))
+def query_terms(items: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(item_id, words, need) of the items that have ``least`` words or more; one row for each distinct id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, w, needed(len(w), share, least)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(w := tokens(t or "")) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.string()), pa.int32()))], names=["item_id", "words", "need"])
+
+    return items.select(F.col("item_id").cast("bigint"), "text").where("text is not null").distinct().mapInArrow(run, "item_id long, words array<string>, need int")
 
 
-def align(places: np.ndarray, offsets: np.ndarray, skip: int = 5) -> list[tuple[int, int, int, int, int, float]]:
-    """Stretches (matched, first and last offset in the item, first and last place, score) over matching pairs.
+def rare_places(query: DataFrame, index: DataFrame, anchors: int = ANCHORS) -> DataFrame:
+    """(item, term, offset, reach, size): the places of each item that are looked up, its rarest words by the counts of the index.
 
-    Pairs are joined in the order of both texts, with at most ``skip`` words between; each word between costs one match.
+    A document that lacks at most len - need of the words of an item holds at least k of any len - need + k; of
+    2 * anchors - 1 of them, standing in one or two stretches, at least ``anchors`` stand in the same stretch.
     """
-    n = len(places)
-    order = np.lexsort((offsets, places))
-    g, p = places[order].tolist(), offsets[order].tolist()
-    score, count, before, head = [1.0] * n, [1] * n, [-1] * n, list(range(n))
+    each = query.select("item", "need", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
+    terms = each.select("term").distinct()
+    counts = index.where("term is not null").select("term", "n").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    ranked = each.join(counts, "term", "left").groupBy("item", "need", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("w"))  # the words of one item
+    taken = ranked.select("item", "size", F.explode(F.slice("w", F.lit(1), F.col("size") - F.col("need") + (2 * anchors - 1))).alias("w"))
+    return taken.where("w.n > 0").select("item", "w.term", "w.offset", (F.col("size") / DENSITY + 1e-9).cast("int").alias("reach"), "size")
+
+
+def candidates(index: DataFrame, query: DataFrame, anchors: int = ANCHORS) -> DataFrame:
+    """(doc_id, item): the documents in which ``anchors`` rare words of an item agree, up to the slack of a stretch."""
+    rare = rare_places(query, index, anchors)
+    hits = index.where("term is not null").select("segment", "term", "places").join(rare, "term")
+    hits = hits.select("item", "segment", "reach", "size", F.transform("places", lambda p: p - F.col("offset")).alias("d"))
+    grouped = hits.groupBy("item", "segment", "reach", "size").agg(F.flatten(F.collect_list("d")).alias("d")).where(F.size("d") >= anchors)
+    rows = grouped.join(index.where("term is null").select("segment", "docs", "bounds"), "segment")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs_out: list[np.ndarray] = []
+            items_out: list[np.ndarray] = []
+            item, reach, size = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("item", "reach", "size"))
+            shifted, docs, bounds = (batch.column(batch.schema.get_field_index(c)) for c in ("d", "docs", "bounds"))
+            for k in range(batch.num_rows):
+                d = np.sort(shifted[k].values.to_numpy())
+                near = d[anchors - 1 :] - d[: len(d) - anchors + 1] <= reach[k] - size[k]
+                if near.any():
+                    # the first of them is the beginning of the item, which may lie before the document
+                    at = np.unique(np.searchsorted(bounds[k].values.to_numpy(), d[anchors - 1 :][near] + size[k], "right") - 1)
+                    found = docs[k].values.to_numpy(zero_copy_only=False)[at]
+                    docs_out.append(found)
+                    items_out.append(np.full(len(found), item[k]))
+            if docs_out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs_out), pa.int64()), pa.array(np.concatenate(items_out), pa.int64())], names=["doc_id", "item"])
+
+    return rows.select("item", "reach", "size", "d", "docs", "bounds").mapInArrow(agree, "doc_id long, item long").distinct()
+
+
+def _chains(g: list[int], p: list[int], skip: int) -> list[list[int]]:
+    """Chains of matching pairs in the order of both texts, with at most ``skip`` words between; a word between costs a match."""
+    n = len(g)
+    score, before, follows = [1.0] * n, [-1] * n, [False] * n
     for j in range(n):
         for i in range(j - 1, -1, -1):
             dg = g[j] - g[i]
@@ -100,119 +191,109 @@ def align(places: np.ndarray, offsets: np.ndarray, skip: int = 5) -> list[tuple[
             dp = p[j] - p[i]
             if dg <= 0 or dp <= 0 or dp > skip + 1:
                 continue
-            s = score[i] + 1 - max(dg, dp) + 1
+            s = score[i] + 2 - max(dg, dp)
             if s > score[j]:
-                score[j], count[j], before[j], head[j] = s, count[i] + 1, i, head[i]
-    best: dict[int, int] = {}
+                score[j], before[j] = s, i
+        if before[j] >= 0:
+            follows[before[j]] = True
+    chains = []
     for j in range(n):
-        if head[j] not in best or score[j] > score[best[head[j]]]:
-            best[head[j]] = j
-    found = sorted(((count[j], p[h], p[j], g[h], g[j], score[j]) for h, j in best.items()), key=lambda x: (-x[5], x[3]))
-    return found
-
-
-class Item:
-    def __init__(self, item_id: int, text: str, counts: dict[str, int], share: float, least: int, anchors: int):
-        self.id, self.words = item_id, tokens(text)
-        self.need = max(least, int(np.ceil(share * len(self.words))))
-        by_term: dict[str, list[int]] = {}
-        for i, w in enumerate(self.words):
-            by_term.setdefault(w, []).append(i)
-        self.by_term = by_term
-        # a text that has ``need`` of the words in order lacks at most len - need of them, so it has at least ``anchors``
-        # of the len - need + anchors rarest
-        places = sorted(range(len(self.words)), key=lambda i: (counts.get(self.words[i], 0), i))
-        self.rare = [(self.words[i], i) for i in places[: max(len(self.words) - self.need, 0) + anchors]]
-
-
-def matches(
-    index: DataFrame, items: list[tuple[int, str]], counts: dict[str, int], share: float = 0.4, least: int = 12, anchors: int = 3, density: float = 0.84, drift: int = 6, shortest: int = 5
-) -> DataFrame:
-    """(doc_id, item_id, matched, words, stretches, exact) for every document with enough of an item in its order.
-
-    A stretch is a run of matching words with single words altered, added or dropped, at least ``density`` of whose span
-    matches, and ``shortest`` words at least; the best one or two stretches must have ``share`` of the words of the item and ``least`` of them. exact:
-    one stretch without a gap. Items with fewer words than ``least`` can't match.
+        if not follows[j]:
+            chain = [j]
+            while before[chain[-1]] >= 0:
+                chain.append(before[chain[-1]])
+            chains.append(chain[::-1])
+    return chains
+
+
+def stretches(places: np.ndarray, offsets: np.ndarray, size: int, density: float = DENSITY, shortest: int = SHORTEST) -> list[tuple[int, int, int, int, int]]:
+    """(matched, first and last offset in the item, first and last place) of every dense stretch of matching pairs.
+
+    places and offsets are all pairs of equal words of a document and an item of ``size`` words. A stretch has ``shortest``
+    words at least, and at least ``density`` of its span, in either text, matches. A chain that isn't dense as a whole is
+    cut at its gaps, so that its dense parts count. The longest come first.
     """
+    skip = max(5, slack(size, density))
+    # a dense stretch holds three words in a row in both texts; pairs far from such a run can't belong to one
+    key = (places - offsets) * np.int64(1 << 32) + offsets
+    key.sort()
+    run = key[:-2][key[2:] - key[:-2] == 2] if len(key) > 2 else key[:0]
+    if not len(run):
+        return []
+    seeds = np.unique((run >> 32) + (run & 0xFFFFFFFF))
+    i = np.searchsorted(seeds, places)
+    nearest = np.minimum(np.abs(places - seeds[np.maximum(i - 1, 0)]), np.abs(places - seeds[np.minimum(i, len(seeds) - 1)]))
+    keep = nearest <= size + skip + 3
+    places, offsets = places[keep], offsets[keep]
+    order = np.lexsort((offsets, places))
+    g, p = places[order].tolist(), offsets[order].tolist()
+    found = set()
+    for chain in _chains(g, p, skip):
+        m = len(chain)
+        if m < shortest:
+            continue
+        heads = [k for k in range(m) if not k or g[chain[k]] - g[chain[k - 1]] != 1 or p[chain[k]] - p[chain[k - 1]] != 1]
+        ends = [*(k - 1 for k in heads[1:]), m - 1]
+        for a, i in enumerate(heads):
+            for j in ends[a:]:
+                matched = j - i + 1
+                x, y = chain[i], chain[j]
+                if matched >= shortest and matched >= density * (max(p[y] - p[x], g[y] - g[x]) + 1):
+                    found.add((matched, p[x], p[y], g[x], g[y]))
+    return sorted(found, key=lambda s: (-s[0], s[3], s[1]))
+
+
+def passage(words: list[str], document: Document, need: int, density: float = DENSITY, shortest: int = SHORTEST) -> tuple[int, int, bool] | None:
+    """(matched, stretches, exact) of an item in a document, None if it doesn't hold enough of it."""
+    if sum(r in document.runs for r in zip(words, words[1:], words[2:])) < least_runs(len(words), need, density, shortest):
+        return None
+    lists = [document.at.get(w, ()) for w in words]
+    places = np.array([g for x in lists for g in x], np.int64)
+    offsets = np.repeat(np.arange(len(words), dtype=np.int64), [len(x) for x in lists])
+    found = stretches(places, offsets, len(words), density, shortest)
+    if not found:
+        return None
+    if found[0][0] >= need:
+        m, a, b, c, d = found[0]
+        return m, 1, m == len(words) == d - c + 1
+    for i, s in enumerate(found):
+        for t in found[i + 1 :]:
+            if s[0] + t[0] < need:
+                break
+            if (t[1] > s[2] or t[2] < s[1]) and (t[3] > s[4] or t[4] < s[3]):
+                return s[0] + t[0], 2, False
+    return None
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prepared = [Item(i, t, counts, share, least, anchors) for i, t in items if t and len(tokens(t)) >= least]
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("words", pa.int32()), ("stretches", pa.int32()), ("exact", pa.bool_())])
-        for batch in batches:
-            for row in batch.to_pylist():
-                at = {t: i for i, t in enumerate(row["terms"])}
-                starts, places = row["starts"], np.asarray(row["places"], np.int64)
-                bounds, docs = np.asarray(row["bounds"], np.int64), row["docs"]
-                empty = np.empty(0, np.int64)
-                lists = lambda t: places[starts[k] : starts[k + 1]] if (k := at.get(t)) is not None else empty
-                rows = []
-                for item in prepared:
-                    shifted = np.sort(np.concatenate([lists(t) - i for t, i in item.rare]))
-                    if len(shifted) < anchors:
-                        continue
-                    close = shifted[anchors - 1 :] - shifted[: len(shifted) - anchors + 1] <= drift
-                    if not close.any():
-                        continue
-                    centres = shifted[anchors - 1 :][close]
-                    n = len(item.words)
-                    found = np.unique(np.searchsorted(bounds, centres + n, "right") - 1)
-                    found = found[found >= 0]
-                    near = [(lists(t), o) for t, o in ((t, o) for t, os in item.by_term.items() for o in os)]
-                    g = np.concatenate([x for x, _ in near])
-                    p = np.concatenate([np.full(len(x), o) for x, o in near])
-                    order = np.argsort(g)
-                    g, p = g[order], p[order]
-                    for d in found.tolist():
-                        low, high = bounds[d], bounds[d + 1] if d + 1 < len(bounds) else np.iinfo(np.int64).max
-                        a, b = np.searchsorted(g, (low, high))
-                        gd, pd_ = g[a:b], p[a:b]
-                        here = centres[(centres + n >= low) & (centres < high)]
-                        if not len(here):
-                            continue
-                        diagonal = gd - pd_
-                        i = np.searchsorted(here, diagonal)
-                        nearest = np.minimum(np.abs(diagonal - here[np.maximum(i - 1, 0)]), np.abs(diagonal - here[np.minimum(i, len(here) - 1)]))
-                        keep = nearest <= 2 * drift
-                        stretches = [s for s in align(gd[keep], pd_[keep]) if s[0] >= shortest and s[0] >= density * (max(s[2] - s[1], s[4] - s[3]) + 1)]
-                        if not stretches:
-                            continue
-                        chosen = [stretches[0]]
-                        for s in stretches[1:]:
-                            c = chosen[0]
-                            if (s[1] > c[2] or s[2] < c[1]) and (s[3] > c[4] or s[4] < c[3]):
-                                chosen.append(s)
-                                break
-                        matched = sum(s[0] for s in chosen)
-                        if chosen[0][0] >= item.need:
-                            chosen = chosen[:1]
-                            matched = chosen[0][0]
-                        if matched >= item.need:
-                            exact = len(chosen) == 1 and matched == n == chosen[0][4] - chosen[0][3] + 1
-                            rows.append((docs[d], item.id, matched, n, len(chosen), exact))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-
-    return index.mapInArrow(search, "doc_id long, item_id long, matched int, words int, stretches int, exact boolean")
-
-
-def leaked(corpus: DataFrame, items: DataFrame, block: int = 5_000) -> DataFrame:
-    """Every document of corpus (doc_id, text) with the items (item_id, text) that leaked into it.
-
-    The items are the query set; they are taken in blocks of ``block``, whose terms go to every task. The index is built
-    and stored once a block, restricted to the terms of the block. NULL or empty texts on either side match nothing;
-    repeated texts match each on its own.
+
+def leaked(corpus: DataFrame, items: DataFrame, index: DataFrame | None = None, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(doc_id, item_id, matched, words, stretches, exact) for every document of corpus (doc_id, text) with enough of an item (item_id, text).
+
+    The best one or two stretches must have ``share`` of the words of the item, and ``least`` of them; exact: the whole item
+    in one stretch without a gap. ``index`` is a stored positional index of corpus, built here if it isn't given; it serves
+    any number of items, which are joined to it by term. NULL or empty texts on either side, NULL ids of documents and items
+    with fewer words than ``least`` match nothing; repeated texts match each on its own; other columns are left out.
     """
-    result = None
-    query = ((r["item_id"], r["text"]) for r in items.select("item_id", "text").toLocalIterator())
-    for part in chain(batched(query, block), ((),)):  # the empty block at the end gives a result without items
-        if not part and result is not None:
-            break
-        terms = {w for _, t in part if t for w in tokens(t)}
-        index = stored(positional_index(corpus, "doc_id", "text", terms), "postings")
-        counts = {r["term"]: r["n"] for r in term_counts(index).collect()}  # at most the terms of the block
-        found = matches(index, part, counts)
-        result = found if result is None else result.unionByName(found)
-    return result
+    index = stored(positional_index(corpus, "doc_id", "text"), "postings") if index is None else index
+    query = stored(query_terms(items, share, least).withColumn("item", F.monotonically_increasing_id()), "items")
+    opened = candidates(index, query).join(query, "item")
+    # a text travels once for each GROUP items at most, not once for each item
+    opened = opened.groupBy("doc_id", F.expr(f"item div {GROUP}").alias("slot")).agg(F.collect_list(F.struct("item_id", "words", "need")).alias("items"))
+    opened = opened.select("doc_id", "items").repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # the work is in Python, not in bytes
+    rows = corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(opened, "doc_id").select("doc_id", "text", "items")
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("words", pa.int32()), ("stretches", pa.int32()), ("exact", pa.bool_())])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc, text, opened_items in zip(*batch.columns):
+                document = Document(text.as_py() or "")
+                for item in opened_items.as_py():
+                    words = item["words"]
+                    if r := passage(words, document, item["need"]):
+                        found.append((doc.as_py(), item["item_id"], r[0], len(words), r[1], r[2]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(schema.types)], schema=schema)
+
+    return rows.mapInArrow(align, "doc_id long, item_id long, matched int, words int, stretches int, exact boolean")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

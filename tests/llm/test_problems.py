@@ -236,7 +236,8 @@ def test_leaked_passages(spark):
     found = {(r["doc_id"], r["item_id"]): r for r in leakage.leaked(corpus, items).collect()}
     assert set(found) == {(1, 7), (2, 7), (3, 7)}
     assert found[1, 7]["exact"] and not found[3, 7]["exact"] and found[2, 7]["stretches"] == 2
-    assert set(found) == {(r["doc_id"], r["item_id"]) for r in leakage.leaked(corpus, items, block=1).collect()}
+    index = leakage.positional_index(corpus, "doc_id", "text").cache()
+    assert set(found) == {(r["doc_id"], r["item_id"]) for r in leakage.leaked(corpus, items, index).collect()}
     assert leakage.leaked(corpus.where("doc_id < 0"), items).count() == 0 and leakage.leaked(corpus, items.where("item_id < 0")).count() == 0
 
 
