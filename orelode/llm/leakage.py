@@ -29,7 +29,7 @@ SHARE, LEAST = 0.4, 12  # what of an item must stand in a document: the share of
 DENSITY = 0.84  # least share of matching words in the span of a stretch, so that few are altered, added or dropped
 SHORTEST = 5  # words of the shorter of two stretches
 GROUP = 512  # items beside one copy of a text, at most
-ANCHORS = 5  # rare words that must agree in one stretch
+ANCHORS = 3  # rare words that must agree in one stretch
 
 
 def tokens(text: str) -> list[str]:
@@ -137,46 +137,84 @@ def query_terms(items: DataFrame, share: float = SHARE, least: int = LEAST) -> D
 
 
 def rare_places(query: DataFrame, index: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """(item, term, offset, reach, size): the places of each item that are looked up, its rarest words by the counts of the index.
+    """(item, term, offset, size): the places of each item that are looked up, its rarest words by the counts of the index.
 
     A document that lacks at most len - need of the words of an item holds at least k of any len - need + k; of
     2 * anchors - 1 of them, standing in one or two stretches, at least ``anchors`` stand in the same stretch.
     """
     each = query.select("item", "need", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
-    terms = each.select("term").distinct()
+    terms = stored(each.select("term").distinct(), "terms")
     counts = index.where("term is not null").select("term", "n").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
     ranked = each.join(counts, "term", "left").groupBy("item", "need", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("w"))  # the words of one item
     taken = ranked.select("item", "size", F.explode(F.slice("w", F.lit(1), F.col("size") - F.col("need") + (2 * anchors - 1))).alias("w"))
-    return taken.where("w.n > 0").select("item", "w.term", "w.offset", (F.col("size") / DENSITY + 1e-9).cast("int").alias("reach"), "size")
+    return taken.select("item", "w.term", "w.offset", "size")
+
+
+def dense_anchors(hit: np.ndarray, rare: np.ndarray, anchors: int = ANCHORS, density: float = DENSITY) -> bool:
+    """Whether some part of an item with ``anchors`` hits lacks so few of its rare words that it can be a stretch.
+
+    hit and rare are masks over the words of the item; words that aren't rare count as present, as they weren't looked up.
+    """
+    held = np.cumsum(hit)
+    if held[-1] < anchors:
+        return False
+    total = np.concatenate([[0.0], np.cumsum(np.where(rare & ~hit, -density, 1 - density))])
+    least = np.minimum.accumulate(total)
+    ends = np.flatnonzero(held >= anchors)
+    latest = np.flatnonzero(hit)[held[ends] - anchors]  # the part begins at this hit or before it
+    return bool((least[latest] <= total[ends + 1] + 1e-9).any())
 
 
 def candidates(index: DataFrame, query: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """(doc_id, item): the documents in which ``anchors`` rare words of an item agree, up to the slack of a stretch."""
-    rare = rare_places(query, index, anchors)
-    hits = index.where("term is not null").select("segment", "term", "places").join(rare, "term")
-    hits = hits.select("item", "segment", "reach", "size", F.transform("places", lambda p: p - F.col("offset")).alias("d"))
-    grouped = hits.groupBy("item", "segment", "reach", "size").agg(F.flatten(F.collect_list("d")).alias("d")).where(F.size("d") >= anchors)
-    rows = grouped.join(index.where("term is null").select("segment", "docs", "bounds"), "segment")
+    """(doc_id, item): the documents in which ``anchors`` rare words of an item agree in their places as in a stretch.
+
+    The lists of the rare words of an item meet segment by segment. The places are written in one array, each list behind
+    the negative number of its word.
+    """
+    rare = stored(rare_places(query, index, anchors), "rare")
+    places_of = rare.groupBy("item", "size").agg(F.collect_list("offset").alias("rare"))
+    hits = index.where("term is not null").select("segment", "term", "places").join(rare.drop("size"), "term")
+    hits = hits.select("item", "segment", F.concat(F.array(-F.col("offset") - 1), "places").alias("list"))
+    grouped = hits.groupBy("item", "segment").agg(F.flatten(F.collect_list("list")).alias("lists"), F.count("*").alias("n")).where(F.col("n") >= anchors)
+    rows = grouped.join(places_of, "item").join(stored(index.where("term is null").select("segment", "docs", "bounds"), "segments"), "segment")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_out: list[np.ndarray] = []
-            items_out: list[np.ndarray] = []
-            item, reach, size = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("item", "reach", "size"))
-            shifted, docs, bounds = (batch.column(batch.schema.get_field_index(c)) for c in ("d", "docs", "bounds"))
-            for k in range(batch.num_rows):
-                d = np.sort(shifted[k].values.to_numpy())
-                near = d[anchors - 1 :] - d[: len(d) - anchors + 1] <= reach[k] - size[k]
-                if near.any():
-                    # the first of them is the beginning of the item, which may lie before the document
-                    at = np.unique(np.searchsorted(bounds[k].values.to_numpy(), d[anchors - 1 :][near] + size[k], "right") - 1)
-                    found = docs[k].values.to_numpy(zero_copy_only=False)[at]
-                    docs_out.append(found)
-                    items_out.append(np.full(len(found), item[k]))
-            if docs_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs_out), pa.int64()), pa.array(np.concatenate(items_out), pa.int64())], names=["doc_id", "item"])
-
-    return rows.select("item", "reach", "size", "d", "docs", "bounds").mapInArrow(agree, "doc_id long, item long").distinct()
+            found: set[tuple[int, int]] = set()
+            for item, size, rare_, lists, docs, bounds in zip(*batch.columns):
+                n, v = size.as_py(), lists.values.to_numpy()
+                head = v < 0
+                offset = (-v[head] - 1)[np.cumsum(head) - 1][~head]
+                place = v[~head]
+                doc = np.searchsorted(bounds.values.to_numpy(), place, "right") - 1
+                shifted = place - offset
+                order = np.lexsort((shifted, doc))
+                doc, shifted, offset = doc[order], shifted[order], offset[order]
+                last = len(doc) - anchors + 1
+                if last <= 0:
+                    continue
+                near = (doc[anchors - 1 :] == doc[:last]) & (shifted[anchors - 1 :] - shifted[:last] <= slack(n))
+                starts = np.flatnonzero(near)
+                if not len(starts):
+                    continue
+                mask = np.zeros(n, bool)
+                mask[rare_.values.to_numpy()] = True
+                # starts that follow each other closely are looked at as one
+                groups = np.split(starts, np.flatnonzero(np.diff(starts) >= anchors) + 1)
+                for g in groups:
+                    a, b = g[0], g[-1] + anchors - 1
+                    if doc[a] != doc[b]:
+                        parts = np.split(np.arange(a, b + 1), np.flatnonzero(np.diff(doc[a : b + 1])) + 1)
+                    else:
+                        parts = [slice(a, b + 1)]
+                    for part in parts:
+                        hit = np.zeros(n, bool)
+                        hit[offset[part]] = True
+                        if dense_anchors(hit, mask, anchors):
+                            found.add((docs.values[int(doc[part][0])].as_py(), item.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["doc_id", "item"])
+
+    return rows.select("item", "size", "rare", "lists", "docs", "bounds").mapInArrow(agree, "doc_id long, item long").distinct()
 
 
 def _chains(g: list[int], p: list[int], skip: int) -> list[list[int]]:
@@ -277,9 +315,9 @@ def leaked(corpus: DataFrame, items: DataFrame, index: DataFrame | None = None,
     query = stored(query_terms(items, share, least).withColumn("item", F.monotonically_increasing_id()), "items")
     opened = candidates(index, query).join(query, "item")
     # a text travels once for each GROUP items at most, not once for each item
-    opened = opened.groupBy("doc_id", F.expr(f"item div {GROUP}").alias("slot")).agg(F.collect_list(F.struct("item_id", "words", "need")).alias("items"))
-    opened = opened.select("doc_id", "items").repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")  # the work is in Python, not in bytes
-    rows = corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(opened, "doc_id").select("doc_id", "text", "items")
+    opened = stored(opened.groupBy("doc_id", F.expr(f"item div {GROUP}").alias("slot")).agg(F.collect_list(F.struct("item_id", "words", "need")).alias("items")).drop("slot"), "opened")
+    texts = corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(stored(opened.select("doc_id").distinct(), "ids"), "doc_id", "left_semi")
+    rows = texts.join(opened, "doc_id").select("doc_id", "text", "items")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("words", pa.int32()), ("stretches", pa.int32()), ("exact", pa.bool_())])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
