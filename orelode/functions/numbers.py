@@ -25,13 +25,21 @@ def interval(text: Column) -> Column:
     return F.struct(lo.alias("lo"), hi.alias("hi"), F.regexp_extract(text, pattern, 1).alias("first"), F.regexp_extract(text, pattern, 4).alias("tail"))
 
 
-def number_range(text: Column) -> Column:
-    """STRUCT<lo, hi> over every signed decimal of the text, as the fact search reads ranges.
+def decimals(text: Column) -> Column:
+    """ARRAY of every signed decimal of the text, as the fact search reads ranges; NULL for NULL.
 
     Decimal comma becomes a point, dashes become ``-``, ``~`` a blank, and a dash between digits separates.
-    ``1 000`` therefore is (0, 1) and ``10^-3`` is (-3, 10). NULL without a number.
     """
     t = F.translate(text, ",–—−~∼", ".---  ")
     t = F.regexp_replace(t, r"(?<=\d)\s*-\s*(?=\d)", " ")
-    found = F.transform(F.regexp_extract_all(t, F.lit(r"(-?\d+(?:\.\d+)?)"), 1), lambda x: x.cast("double"))
+    return F.transform(F.regexp_extract_all(t, F.lit(r"(-?\d+(?:\.\d+)?)"), 1), lambda x: x.cast("double"))
+
+
+def bounds(found: Column) -> Column:
+    """STRUCT<lo, hi> of the decimals found in a text, NULL without any."""
     return F.when(F.size(found) > 0, F.struct(F.array_min(found).alias("lo"), F.array_max(found).alias("hi")))
+
+
+def number_range(text: Column) -> Column:
+    """STRUCT<lo, hi> over every decimal of the text; ``1 000`` is (0, 1) and ``10^-3`` is (-3, 10). NULL without a number."""
+    return bounds(decimals(text))

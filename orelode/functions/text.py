@@ -22,9 +22,14 @@ STEM_ENDINGS = (
     "иями", "ями", "ами", "ией", "иям", "ием", "иях", "ого", "его", "ому", "ему", "ыми", "ими",
     "ая", "яя", "ое", "ее", "ие", "ые", "ой", "ий", "ый", "ов", "ев", "ам", "ям", "ах", "ях", "ия", "ии", "ию",
 )
-# Defaults of the place lexicon: words that mark a domestic or a foreign place or author.
-DOMESTIC = ("росси", "рф", "москва", "урал", "сибир", "норильск", "фабрика", "рудник", "узел", "комбинат")
-FOREIGN = ("казахстан", "чили", "перу", "канад", "финлянд", "юар", "китай", "сша", "австрали", "герман", "япон", "бразил")
+# Markers of domestic and of foreign places and authors, the defaults of the place lexicon.
+DOMESTIC = (
+    "россия", "рф", "россий", "кольская", "кгмк", "норильск", "норникель", "гипроникель", "мончегорск", "мурманск", "печенг", "красноярск", "забайкаль", "магнитогорск",
+)
+FOREIGN = (
+    "австрали", "англи", "африк", "германи", "грузи", "канада", "квебек", "китай", "нидерланд", "норвеги", "серби", "сша", "финлянди", "чили", "юар", "япони",
+    "anglo", "beatrix", "garson", "glencore", "lonmin", "mitsubishi", "nikkelverk", "niihama", "outotec", "paques", "raglan", "rtb bor", "totten", "waterval",
+)
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -93,6 +98,16 @@ def year(text: Column) -> Column:
     return F.regexp_extract(text, r"(?:^|[^0-9A-Za-zА-Яа-яЁё_])((?:18|19|20)[0-9]{2})(?:[^0-9A-Za-zА-Яа-яЁё_]|$)", 1).try_cast("int")
 
 
+def year_text(text: Column) -> Column:
+    """The first year of text, or text as it is where it holds none."""
+    return F.coalesce(year(text).cast("string"), text)
+
+
+def document_context(text: Column, limit: int = 500) -> Column:
+    """The beginning of a cleaned text, which goes with each of its chunks to the extraction."""
+    return F.left(doc_clean(text), F.lit(limit))
+
+
 def base_variant(name: Column) -> tuple[Column, Column]:
     """(last word, the words before it, NULL if there are none) of a name without its bracketed parts."""
     plain = collapse_spaces(F.regexp_replace(name, r"\([^()]*\)", " "))
@@ -121,7 +136,7 @@ def geo_scope(place: Column, author: Column, domestic: tuple[str, ...] = DOMESTI
 def split_experts(text: Column) -> Column:
     """ARRAY of the names between ``;`` and ``,`` and the word и (not in «и др»), without missing and repeated ones.
 
-    The first spelling of names that are equal but for case is kept; a comma before initials doesn't divide.
+    The first spelling of names that are equal but for case is kept; a comma divides before initials too.
     """
     t = F.replace(text, F.lit(" и др"), F.lit("\u0001др"))
     t = F.replace(F.replace(t, F.lit(" и "), F.lit(";")), F.lit("\u0001др"), F.lit(" и др"))

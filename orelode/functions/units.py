@@ -128,10 +128,22 @@ def convert(value: Column, source: Column, target: Column) -> Column:
     return F.when(dimension(source) == dimension(target), (base - offset(target)) / factor(target))
 
 
+def canonical_literal(unit: str | None) -> str | None:
+    """canonical_unit of a literal of a query, on the driver."""
+    t = " ".join((unit or "").lower().translate(str.maketrans("³²\u00a0˚", "32 °")).replace("℃", "°c").replace("°с", "°c").split())
+    return SPELLINGS.get(t) or SPELLINGS.get(t.rstrip("."))
+
+
+def known_unit(cleaned: Column) -> Column:
+    """STRUCT<dimension, factor, offset> of a unit that clean_unit has cleaned, in one lookup; NULL if it is unknown."""
+    entry = lambda u: F.struct(F.lit(UNITS[u][0]).alias("dimension"), F.lit(UNITS[u][1]).alias("factor"), F.lit(UNITS[u][2]).alias("offset"))
+    known = F.create_map(*[x for spelling, u in SPELLINGS.items() for x in (F.lit(spelling), entry(u))])
+    return F.coalesce(F.try_element_at(known, cleaned), F.try_element_at(known, F.rtrim(cleaned, F.lit("."))))
+
+
 def convert_literal(value: float, source: str, target: str) -> float | None:
     """The same for a literal of a query, on the driver."""
-    clean = lambda u: SPELLINGS.get(x := " ".join(u.lower().translate(str.maketrans("³²\u00a0˚", "32 °")).replace("℃", "°c").replace("°с", "°c").split())) or SPELLINGS.get(x.rstrip("."))
-    a, b = clean(source or ""), clean(target or "")
+    a, b = canonical_literal(source), canonical_literal(target)
     if a is None or b is None or UNITS[a][0] != UNITS[b][0]:
         return None
     return (value * UNITS[a][1] + UNITS[a][2] - UNITS[b][2]) / UNITS[b][1]

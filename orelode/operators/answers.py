@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.operators.matrix import KEY
+from orelode.operators.search import FactFilter, find_facts
+from orelode.session import stored
 
 ORDER = ("source_file", "material", "process", "property", "fact_id", "studied_id")
 
@@ -23,9 +27,13 @@ def ranked_columns() -> list[Column]:
     return [F.desc("score"), *[F.asc_nulls_first(c) for c in ORDER]]
 
 
+def rank_key_parts() -> list[Column]:
+    return [(-F.col("score")).alias("minus"), *map(F.col, ORDER)]
+
+
 def rank_key() -> Column:
     """A STRUCT that sorts as the ranking does, the best first."""
-    return F.struct((-F.col("score")).alias("minus"), *ORDER)
+    return F.struct(*rank_key_parts())
 
 
 def keep_first(rows: DataFrame, keys: tuple[str, ...] = KEY, order: tuple[str, ...] = ("fact_id", "studied_id")) -> DataFrame:
@@ -49,14 +57,59 @@ def top_values(df: DataFrame, group: str, column: str, limit: int) -> DataFrame:
     return counted.withColumn("no", rank).where(F.col("no") <= limit)
 
 
-def summary(rows: DataFrame, group: str, limit: int) -> DataFrame:
-    """Groups with their facts, documents, three commonest materials, and the source of the best ranked fact."""
-    scored = rows.where(F.col(group).isNotNull()).withColumn("score", quality_score())
-    totals = scored.groupBy(group).agg(F.count("*").alias("facts"), F.countDistinct("source_file").alias("documents"), F.max("score").alias("best_score"), F.min(rank_key())["source_file"].alias("best_source"))
-    best = totals.orderBy(F.desc("facts"), F.desc("best_score"), group).limit(limit)
+def _tops(few: DataFrame, group: list[str], column: str, limit: int) -> DataFrame:
+    """(group, column): the commonest values of a column in each group as one text, ties in the order of their texts."""
+    counted = few.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), column))
+    best = counted.withColumn("no", rank).where(F.col("no") <= limit)
+    return best.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", column))), lambda x: x[column]), ", ").alias(f"top_{column}"))
+
+
+def summary(rows: DataFrame, group: str, limit: int, missing: str | None = None, tops: tuple[tuple[str, int], ...] = (("material", 3), ("property", 3))) -> DataFrame:
+    """The groups with most facts: facts, documents, the commonest values of ``tops``, and source and quote of the best fact.
+
+    Rows without a group are left out, or form the group ``missing``, if it is given.
+    """
+    scored = rows.withColumn("score", quality_score()).withColumn(group, F.coalesce(group, F.lit(missing)) if missing is not None else F.col(group))
+    columns = list(dict.fromkeys([group, "score", "source_quote", *ORDER, *(c for c, _ in tops)]))
+    scored = stored(scored.where(F.col(group).isNotNull()).select(*columns), "scored")
+    first = F.min(F.struct(*rank_key_parts(), "source_quote"))
+    totals = scored.groupBy(group).agg(F.count("*").alias("facts"), F.countDistinct("source_file").alias("documents"), F.max("score").alias("best_score"), first["source_file"].alias("best_source"), first["source_quote"].alias("best_quote"))
+    best = stored(totals.orderBy(F.desc("facts"), F.desc("best_score"), group).limit(limit), "best")
     few = scored.join(best.select(group), group, "left_semi")
-    tops = top_values(few, group, "material", 3).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "material"))), lambda x: x["material"]), ", ").alias("materials"))
-    return best.join(tops, group, "left")
+    for column, n in tops:
+        best = best.join(_tops(few, [group], column, n), group, "left")
+    return best
+
+
+def places(rows: DataFrame, limit: int) -> DataFrame:
+    """The places with most facts, with their documents and years."""
+    y = F.regexp_extract("year", r"^([0-9]{4})$", 1).try_cast("int")
+    totals = rows.where("location_geo is not null").groupBy("location_geo").agg(F.count("*").alias("facts"), F.countDistinct("source_file").alias("documents"), F.min(y).alias("first_year"), F.max(y).alias("last_year"))
+    return totals.orderBy(F.desc("facts"), "location_geo").limit(limit)
+
+
+def preset_rows(rows: DataFrame, branches: tuple[dict, ...], names: DataFrame) -> DataFrame:
+    """The rows of each branch of a preset, a search saved as filters by branch, with the number of the branch."""
+    parts = [find_facts(rows, FactFilter.of(b), names=names).withColumn("branch", F.lit(i)) for i, b in enumerate(branches)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """Every row with its rank by quality, from 1.
+
+    The rows are range-partitioned and sorted; ranks inside a partition are moved on by the sizes of the partitions before,
+    so that no task holds them all.
+    """
+    columns = ["fact_id", "studied_id", "score", *ORDER[:4]]
+    order = ranked_columns()
+    scored = stored(rows.withColumn("score", quality_score()).select(*columns), "scored")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(scored.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "placed")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inside = placed.withColumn("no", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    return inside.join(F.broadcast(before), "part").select((F.col("no") + F.col("before")).alias("rank"), *columns)
 
 
 def evidence(rows: DataFrame, limit: int = 50) -> DataFrame:
@@ -71,15 +124,22 @@ def evidence(rows: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def conflicts(rows: DataFrame, limit: int = 12) -> DataFrame:
-    """Groups of material, process and property with several values or directions; units are not looked at."""
+    """Groups of material, process and property with several values or directions; units are not looked at.
+
+    The largest groups, with eight of their values, six directions, the four sources with most facts, and the quote of the
+    best ranked fact.
+    """
     g = ["material", "process", "property"]
-    r = rows.where("material is not null and process is not null and property is not null")
-    found = r.groupBy(*g).agg(F.count("*").alias("facts"), F.countDistinct("result_value").alias("n_values"), F.countDistinct("direction").alias("n_directions"))
-    found = found.where("n_values > 1 or n_directions > 1").orderBy(F.desc("facts"), *g).limit(limit)
+    r = rows.where("material is not null and process is not null and property is not null").withColumn("score", quality_score())
+    r = stored(r.select(*g, "result_value", "direction", "score", "source_file", "source_quote", "fact_id", "studied_id"), "records")
+    first = F.min(F.struct(*rank_key_parts(), "source_quote"))["source_quote"].alias("best_quote")
+    found = r.groupBy(*g).agg(F.count("*").alias("facts"), F.countDistinct("result_value").alias("n_values"), F.countDistinct("direction").alias("n_directions"), first)
+    found = stored(found.where("n_values > 1 or n_directions > 1").orderBy(F.desc("facts"), *g).limit(limit), "conflicts")
     few = r.join(found.select(*g), g, "left_semi")
     values = first_values(few, g, "result_value", 8).withColumnRenamed("values", "v")
     directions = first_values(few, g, "direction", 6).withColumnRenamed("values", "d")
-    return found.join(values, g, "left").join(directions, g, "left").select(*g, "facts", F.array_join("v", "; ").alias("result_values"), F.array_join("d", "; ").alias("directions"))
+    out = found.join(values, g, "left").join(directions, g, "left").join(_tops(few, g, "source_file", 4), g, "left")
+    return out.select(*g, "facts", F.array_join("v", "; ").alias("result_values"), F.array_join("d", "; ").alias("directions"), F.col("top_source_file").alias("sources"), "best_quote")
 
 
 def metrics(rows: DataFrame) -> DataFrame:
@@ -102,3 +162,22 @@ def gap_rules(rows: DataFrame) -> DataFrame:
     rules = F.array_compact(F.array(rule("documents", "docs", F.lit(3)), rule("year", "year", fifth), rule("geo", "geo", fifth), rule("author", "author", fifth), rule("numeric", "numeric", fifth), rule("quotes", "quotes", F.col("n"))))
     one = lambda name: F.array(F.struct(F.lit(name).alias("rule"), F.col("n").alias("found"), F.lit(0).cast("bigint").alias("needed")))
     return s.select(F.explode(F.when(F.col("n") == 0, one("empty")).when(F.size(rules) == 0, one("none")).otherwise(rules)).alias("r")).select("r.*")
+
+
+def summary_text(rows: DataFrame, title: str, limit: int = 3) -> DataFrame:
+    """One row, (title, summary): what was found, in how many documents, over which years and places, by which processes."""
+    m, methods = metrics(rows), summary(rows, "process", limit, tops=())
+    names = methods.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("facts")).alias("f"), (-F.col("best_score")).alias("s"), "process"))), lambda x: x["process"]), ", ").alias("names"))
+    years = F.when(F.col("first_year").isNotNull(), F.concat(F.lit(", years "), F.col("first_year"), F.lit("-"), F.col("last_year"))).otherwise("")
+    places = F.when(F.col("places") > 0, F.concat(F.lit(", places: "), F.col("places"))).otherwise("")
+    text = F.concat(F.col("facts"), F.lit(" facts from "), F.col("documents"), F.lit(" documents"), years, places, F.lit("; processes: "), F.when(F.col("names") == "", "none").otherwise(F.col("names")))
+    none = F.lit("no facts found: widen the corpus or loosen the filters")
+    return m.crossJoin(names).select(F.lit(title).alias("title"), F.when(F.col("facts") > 0, text).otherwise(none).alias("summary"))  # one row each
+
+
+def limitations(rows: DataFrame) -> DataFrame:
+    """(no, limitation): what an answer from rows can't claim; one more where there are no facts."""
+    always = ("put together from the graph, without a model's wording", "facts are extracted automatically and await review", "conflicts are signals to check, not proven contradictions")
+    base = rows.sparkSession.createDataFrame(list(enumerate(always, 1)), "no int, limitation string")
+    empty = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(4).alias("no"), F.lit("no facts: the answer shows a gap of the corpus only").alias("limitation"))
+    return base.unionByName(empty)

@@ -2,52 +2,52 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orelode.functions.text import WS, doc_clean, paragraphs
+
+BLANK_LINE = "\n\n"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+
+
+def windows(paragraph: Column, size: int, overlap: int) -> Column:
+    """ARRAY of the windows of ``size`` over a paragraph, stripped, the last the first that reaches its end; without empty ones."""
+    stride = max(1, size - overlap)
+    last = F.ceil((F.length(paragraph) - size) / F.lit(stride)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: stripped(F.substring(paragraph, i * stride + 1, F.lit(size))))
+    return F.filter(cut, lambda w: w != "")
 
-def greedy_chunks(text: str, size: int = 3000, overlap: int = 300) -> list[str]:
-    """Paragraphs packed into chunks of size; a longer paragraph is cut by a sliding window.
 
-    A paragraph that doesn't fit begins a new chunk, with the last ``overlap`` characters of the chunk before and a blank
-    line in front, so that such a chunk may exceed the size. Nothing is carried over to or from a sliding window.
+def greedy_chunks(text: Column, size: int = 3000, overlap: int = 300) -> Column:
+    """ARRAY of the chunks of a text: its paragraphs, after cleaning, joined by blank lines as long as they fit in ``size``.
+
+    A paragraph that doesn't fit begins a new chunk behind the stripped last ``overlap`` characters of the chunk before and a
+    blank line, so that such a chunk may exceed the size. A paragraph longer than the size is cut into windows, which carry
+    nothing over on either side. NULL gives NULL, a text without a paragraph an empty array.
     """
-    chunks: list[str] = []
-    current = ""
-    for part in re.split(r"\n\s*\n", text):
-        p = part.strip()
-        if not p:
-            continue
-        if len(p) > size:
-            if current:
-                chunks.append(current)
-                current = ""
-            start = 0
-            while True:
-                chunks.append(p[start : start + size])
-                if start + size >= len(p):
-                    break
-                start += size - overlap
-        elif not current:
-            current = p
-        elif len(current) + 2 + len(p) <= size:
-            current = f"{current}\n\n{p}"
-        else:
-            chunks.append(current)
-            current = f"{current[-overlap:]}\n\n{p}" if overlap else p
-    return [*chunks, current] if current else chunks
+    some = lambda x: F.when(x != "", F.array(x)).otherwise(F.array().cast("array<string>"))
+    state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
 
+    def take(s: Column, p: Column) -> Column:
+        joined = F.concat(s["open"], F.lit(BLANK_LINE), p)
+        tail = stripped(F.right(s["open"], F.lit(overlap))) if overlap else F.lit("")
+        carried = F.when(tail != "", F.concat(tail, F.lit(BLANK_LINE), p)).otherwise(p)
+        return (
+            F.when(F.length(p) > size, state(F.concat(s["done"], some(s["open"]), windows(p, size, overlap)), F.lit("")))
+            .when(s["open"] == "", state(s["done"], p))
+            .when(F.length(joined) <= size, state(s["done"], joined))
+            .otherwise(state(F.concat(s["done"], F.array(s["open"])), carried))
+        )
 
-def chunked(df: DataFrame, id_column: str, text_column: str, size: int = 3000, overlap: int = 300) -> DataFrame:
-    """(id, chunk_id from 1, chunk) of every text; NULL, empty and blank texts give none."""
+    start = state(F.array().cast("array<string>"), F.lit(""))
+    return F.aggregate(paragraphs(doc_clean(text)), start, take, lambda s: F.concat(s["done"], some(s["open"])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, k, c) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for k, c in enumerate(greedy_chunks(t, size, overlap), 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["id", "chunk_id", "chunk"])
 
-    return df.select(F.col(id_column).cast("bigint"), F.col(text_column)).mapInArrow(run, "id long, chunk_id long, chunk string")
+def chunked(df: DataFrame, id_column: str, text_column: str, size: int = 3000, overlap: int = 300) -> DataFrame:
+    """(id, chunk_id from 1, chunk) of every text; NULL, empty and blank texts give none."""
+    rows = df.select(F.col(id_column).cast("bigint").alias("id"), F.posexplode(greedy_chunks(F.col(text_column), size, overlap)).alias("i", "chunk"))
+    return rows.select("id", (F.col("i") + 1).cast("bigint").alias("chunk_id"), "chunk")

@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orelode.functions.numbers import number_range
+from orelode.functions.numbers import bounds, decimals, number_range
 from orelode.functions.text import LETTERS, stem_literal
-from orelode.functions.units import canonical_unit, clean_unit, convert, dimension
+from orelode.functions.units import UNITS, canonical_literal, clean_unit, known_unit
 
 FREE_TYPES = ("Material", "Process", "Property", "Equipment", "Expert")
 
@@ -55,26 +55,47 @@ def ranges_intersect(value: Column, low: float | None, high: float | None) -> Co
     return F.coalesce(value.isNotNull() & above & below, F.lit(False))
 
 
-def _unit_contains(actual: Column, wanted: str) -> Column:
-    return clean_unit(actual).contains(wanted) | F.lit(wanted).contains(clean_unit(actual))
+def _unit_contains(cleaned: Column, wanted: str) -> Column:
+    """Whether one of two units, both cleaned, contains the other."""
+    return F.coalesce(cleaned.contains(wanted) | F.lit(wanted).contains(cleaned), F.lit(False))
 
 
-def condition_matches(c: Column, parameter: str | None, low: float | None, high: float | None, unit: str | None) -> Column:
-    """Whether one condition has the parameter, and a value in the bounds, converted where the units allow it."""
-    test = F.coalesce(F.lower(c["parameter"]).contains(parameter.lower()), F.lit(False)) if parameter else F.lit(True)
+def _cleaned_literal(unit: str) -> str:
+    return " ".join(unit.lower().split())
+
+
+def _as_wanted(r: Column, unit: Column, wanted: str) -> Column:
+    """The interval r in canonical unit ``wanted``, from the known unit of the same dimension; NULL for another one."""
+    dim, scale, shift = UNITS[wanted]
+    a, b = ((r[c] * unit["factor"] + unit["offset"] - shift) / scale for c in ("lo", "hi"))
+    return F.when(unit["dimension"] == dim, F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")))
+
+
+def conditions_match(conditions: Column, parameter: str | None, low: float | None, high: float | None, unit: str | None) -> Column:
+    """Whether a condition has the parameter, and a value in the bounds, converted where both units are known.
+
+    Two known units of different dimensions never match; where one is unknown, one must contain the other. Each condition
+    is taken apart once: its name, unit and numbers, then the looked up unit and the interval.
+    """
     bounded = low is not None or high is not None
-    if not unit:
-        return test & ranges_intersect(number_range(c["value"]), low, high) if bounded else test
-    wanted, actual = canonical_unit(F.lit(unit)), canonical_unit(c["unit"])
-    both = wanted.isNotNull() & actual.isNotNull()
-    r = number_range(c["value"])
-    a, b = convert(r["lo"], actual, wanted), convert(r["hi"], actual, wanted)
-    inside = ranges_intersect(F.when(a.isNotNull(), F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))), low, high)
-    loose = F.coalesce(_unit_contains(c["unit"], " ".join(unit.lower().split())), F.lit(False))
-    same = dimension(wanted) == dimension(actual)
-    if bounded:
-        return test & F.when(both, same & inside).otherwise(loose & ranges_intersect(r, low, high))
-    return test & F.when(both, same).otherwise(loose)
+    parts = lambda c: F.struct(F.lower(c["parameter"]).alias("p"), clean_unit(c["unit"]).alias("u"), (decimals(c["value"]) if bounded else F.lit(None).cast("array<double>")).alias("n"))
+    named = F.transform(conditions, parts)
+    if parameter:
+        named = F.filter(named, lambda c: F.coalesce(c["p"].contains(parameter.lower()), F.lit(False)))
+    known = F.transform(named, lambda c: F.struct(c["u"].alias("u"), bounds(c["n"]).alias("r"), (known_unit(c["u"]) if unit else F.lit(None)).alias("k")))
+    wanted = canonical_literal(unit)
+
+    def test(c: Column) -> Column:
+        plain = ranges_intersect(c["r"], low, high) if bounded else F.lit(True)
+        if not unit:
+            return plain
+        loose = _unit_contains(c["u"], _cleaned_literal(unit)) & plain
+        if wanted is None:
+            return loose
+        same = ranges_intersect(_as_wanted(c["r"], c["k"], wanted), low, high) if bounded else c["k"]["dimension"] == UNITS[wanted][0]
+        return F.when(c["k"].isNotNull(), same).otherwise(loose)
+
+    return F.coalesce(F.exists(known, test), F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -116,10 +137,34 @@ class FactFilter:
         return cls(**kept)
 
 
-def find_facts(rows: DataFrame, f: FactFilter, synonyms: dict[str, str] | None = None) -> DataFrame:
-    """The fact rows that pass every filter of f."""
+def spellings(normal: DataFrame) -> DataFrame:
+    """(node_type, name, spelling): every distinct spelling of the materials, processes and properties of the facts."""
+    kinds = (("Material", "material", "material_raw"), ("Process", "process", "process_raw"), ("Property", "property", "property_raw"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("node_type"), F.col(n).alias("name"), F.col(r).alias("spelling")) for k, n, r in kinds])
+    return normal.select(F.explode(pairs).alias("s")).select("s.*").where("name is not null").distinct()
+
+
+def named_like(names: DataFrame, kind: str, query: str, synonyms: dict[str, str] | None = None) -> DataFrame:
+    """(name): the entities of one kind whose name or one of whose spellings matches query, each text on its own."""
+    matched = names.where((F.col("node_type") == kind) & text_match([F.col("name"), F.col("spelling")], query, synonyms))
+    return matched.select("name").distinct()
+
+
+def find_facts(rows: DataFrame, f: FactFilter, synonyms: dict[str, str] | None = None, names: DataFrame | None = None) -> DataFrame:
+    """The fact rows that pass every filter of f.
+
+    names are the ``spellings`` of the facts: with them, material, process and property are found by any spelling that was
+    typed, by a semi join on the entities that match; without, by the entity name alone.
+    """
     tests: list[Column] = []
-    for query, column in ((f.material, "material"), (f.process, "process"), (f.property_query, "property"), (f.geo, "location_geo"), (f.expert, "lab_or_author")):
+    for query, column, kind in ((f.material, "material", "Material"), (f.process, "process", "Process"), (f.property_query, "property", "Property")):
+        if query is None:
+            continue
+        if names is None:
+            tests.append(F.col(column).isNotNull() & text_match([F.col(column)], query, synonyms))
+        else:
+            rows = rows.join(named_like(names, kind, query, synonyms).withColumnRenamed("name", column), column, "left_semi")
+    for query, column in ((f.geo, "location_geo"), (f.expert, "lab_or_author")):
         if query is not None:
             tests.append(F.col(column).isNotNull() & text_match([F.col(column)], query, synonyms))
     for wanted, column in ((f.confidence, "confidence"), (f.geo_scope, "geo_scope")):
@@ -128,25 +173,28 @@ def find_facts(rows: DataFrame, f: FactFilter, synonyms: dict[str, str] | None =
     if f.year_min is not None or f.year_max is not None:
         tests.append(ranges_intersect(number_range(F.col("year")), f.year_min, f.year_max))
     if f.parameter or f.value_min is not None or f.value_max is not None or f.unit:
-        tests.append(F.exists("conditions", lambda c: condition_matches(c, f.parameter, f.value_min, f.value_max, f.unit)))
-    if f.result_unit:
-        wanted, actual = canonical_unit(F.lit(f.result_unit)), canonical_unit(F.col("result_unit"))
-        loose = F.coalesce(_unit_contains(F.col("result_unit"), " ".join(f.result_unit.lower().split())), F.lit(False))
-        tests.append(F.when(wanted.isNotNull() & actual.isNotNull(), dimension(wanted) == dimension(actual)).otherwise(loose))
-    if f.result_value_min is not None or f.result_value_max is not None:
-        r = number_range(F.col("result_value"))
+        tests.append(conditions_match(F.col("conditions"), f.parameter, f.value_min, f.value_max, f.unit))
+    bounded = f.result_value_min is not None or f.result_value_max is not None
+    if f.result_unit or bounded:
+        r, cleaned = number_range(F.col("result_value")), clean_unit(F.col("result_unit"))
+        wanted, known = canonical_literal(f.result_unit), known_unit(cleaned)
         if f.result_unit:
-            wanted, actual = canonical_unit(F.lit(f.result_unit)), canonical_unit(F.col("result_unit"))
-            a, b = convert(r["lo"], actual, wanted), convert(r["hi"], actual, wanted)
-            r = F.when(a.isNotNull(), F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))).otherwise(r)
-        tests.append(ranges_intersect(r, f.result_value_min, f.result_value_max))
+            loose = _unit_contains(cleaned, _cleaned_literal(f.result_unit))
+            tests.append(loose if wanted is None else F.when(known.isNotNull(), known["dimension"] == UNITS[wanted][0]).otherwise(loose))
+        if bounded:
+            r = r if wanted is None else F.coalesce(_as_wanted(r, known, wanted), r)
+            tests.append(ranges_intersect(r, f.result_value_min, f.result_value_max))
     return reduce(lambda df, t: df.where(t), tests, rows)
 
 
-def matching_nodes(nodes: DataFrame, query: str, synonyms: dict[str, str] | None = None, least: int | None = None) -> DataFrame:
-    """The nodes of the searchable types whose name, display name or aliases match query."""
+def matching_nodes(nodes: DataFrame, query: str, synonyms: dict[str, str] | None = None, least: int | None = None, include_base: bool = False) -> DataFrame:
+    """The nodes of the searchable types whose name, display name or one alias matches query, each text on its own.
+
+    include_base: the base of the name is searched too.
+    """
     named = nodes.where(F.col("node_type").isin(*FREE_TYPES))
-    return named.where(text_match([F.col("name"), F.col("display_name"), F.array_join("aliases", "\n")], query, synonyms, least))
+    texts = F.concat(F.array("name", "display_name", *(["base"] if include_base else [])), F.coalesce("aliases", F.array().cast("array<string>")))
+    return named.where(F.exists(texts, lambda t: text_match([t], query, synonyms, least)))
 
 
 def free_search(rows: DataFrame, nodes: DataFrame, edges: DataFrame, query: str, synonyms: dict[str, str] | None = None) -> DataFrame:

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orelode.functions.text import base_variant, url_encoded, word_set
+from orelode.functions.text import base_variant, result_text, url_encoded, word_set
 from orelode.operators import answers as A
 from orelode.operators import graph as G
 from orelode.operators import matrix as M
 from orelode.operators import search as S
-from orelode.plans.base import SQL_NORMAL, SQL_ROWS, normal, quoted, range_sql, rows
+from orelode.operators.facts import fact_rows as joined_rows
+from orelode.plans.base import SQL_NORMAL, SQL_ROWS, kept, normal, quoted, range_sql, rows
 from orelode.plans.graphs import SQL as GRAPH_SQL
-from orelode.plans.graphs import SQL_EDGES, SQL_MENTIONS, match_sql
+from orelode.plans.graphs import SQL_EDGES, SQL_MENTIONS, match_sql, named_sql
 from orelode.plans.graphs import find_facts as found_facts
-from orelode.plans.scalars import _BASE, _PLAIN, _VARIANT
+from orelode.plans.scalars import _BASE, _PLAIN, _RESULT, _VARIANT
+from orelode.session import stored
+from orelode.sources import sinks
 from orelode.sources.tables import table
 
 AXIS = {"кек": "кеки", "шлак": "шлаки", "руда": "руды"}
 BRANCHES = (dict(material="криолит"), dict(process="амальгамация"), dict(property_query="потери меди"), dict(result_unit="К", confidence="low"))
 IRI = "urn:ore:"
+NO_PROCESS = "process not given"
+CELL = ("сурьмянистый агломерат", "коллективное осаждение")
 
 
 def _matrix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -56,11 +61,39 @@ def cell_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 def matrix_pivot(spark: SparkSession, folder: str) -> DataFrame:
     scopes = ["domestic", "foreign", "mixed", "unknown"]
-    r = rows(spark, folder)
+    r = stored(rows(spark, folder).where("material is not null").select(*M.KEY, "geo_scope"), "records")
     r = r.join(M.top_labels(r, "material", 15).select("material"), "material", "left_semi")
     return r.groupBy("material").pivot("geo_scope", scopes).count().na.fill(0)
 
 
+def condition_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """The matrix of materials and the buckets of one condition."""
+    return M.condition_matrix(rows(spark, folder), "температура").select("material", "bucket", "low", "high", "n")
+
+
+def matrix_cell_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The facts behind one cell: the labels of both axes as filters of the fact search."""
+    n = kept(spark, folder)
+    filters = M.axis_filter("Materials", CELL[0]) | M.axis_filter("process", CELL[1])
+    return S.find_facts(joined_rows(n), S.FactFilter(**filters), names=S.spellings(n)).select("fact_id", "studied_id", "material", "process")
+
+
+def condition_cell_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The facts behind one cell of a condition matrix, by the exact bounds of the bucket."""
+    n = kept(spark, folder)
+    f = S.FactFilter(material=CELL[0], parameter="температура", value_min=10, value_max=80.5)
+    return S.find_facts(joined_rows(n), f, names=S.spellings(n)).select("fact_id", "studied_id")
+
+
+def experiment_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """(material, property, facts, result_values): the results of each material and property side by side, at most twenty distinct ones."""
+    n = normal(spark, folder).where("material is not null and property is not null").select("material", "property", "result_value", "result_unit")
+    counted = n.groupBy("material", "property").agg(F.count("*").alias("facts"))
+    shown = n.select("material", "property", result_text(F.col("result_value"), F.col("result_unit")).alias("r"))
+    values = A.first_values(shown, ["material", "property"], "r", 20)
+    return counted.join(values, ["material", "property"], "left").select("material", "property", "facts", F.array_join("values", "; ").alias("result_values"))
+
+
 def axis_rollup(spark: SparkSession, folder: str) -> DataFrame:
     base = base_variant(F.col("material"))[0]
     label = F.coalesce(*[F.when(base == k, v) for k, v in AXIS.items()], base)
@@ -106,14 +139,14 @@ def coverage_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalize_before_after(spark: SparkSession, folder: str) -> DataFrame:
-    n = normal(spark, folder)
+    n = kept(spark, folder)
     parts = [n.where(F.col(c).isNotNull()).agg(F.lit(c).alias("kind"), F.count("*").alias("mentions"), F.countDistinct(f"{c}_raw").alias("raw"), F.countDistinct(c).alias("canonical")) for c in ("material", "process")]
     return parts[0].unionByName(parts[1])
 
 
 def merge_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Names that several spellings were merged into, with the thirty that are mentioned most."""
-    n = G.nodes(normal(spark, folder)).where("node_type in ('Material', 'Process') and (size(aliases) > 1 or aliases[0] <> name)")
+    n = G.nodes(kept(spark, folder)).where("node_type in ('Material', 'Process') and (size(aliases) > 1 or aliases[0] <> name)")
     return n.orderBy(F.desc("mention_count"), "node_type", "name").limit(30).select("node_type", "name", "mention_count", F.size("aliases").cast("bigint").alias("spellings"))
 
 
@@ -127,21 +160,30 @@ def answer_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def methods_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return A.summary(rows(spark, folder), "process", 8)
+    """Processes with most facts; facts without one are a group of their own."""
+    return A.summary(rows(spark, folder), "process", 8, missing=NO_PROCESS)
 
 
 def experts_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return A.summary(rows(spark, folder), "lab_or_author", 10)
+    return A.summary(rows(spark, folder), "lab_or_author", 10, tops=(("source_file", 2),))
 
 
 def geo_breakdown(spark: SparkSession, folder: str) -> DataFrame:
-    return A.summary(rows(spark, folder), "location_geo", 10)
+    r = rows(spark, folder).where("location_geo is not null").select("location_geo", "year", "source_file")
+    return A.places(stored(r, "places"), 10)
 
 
 def conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return A.conflicts(rows(spark, folder))
 
 
+def answer_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Summary and limitations of an answer as rows of text."""
+    r = stored(rows(spark, folder).where("process = 'электроэкстракция'"), "answer")
+    s = A.summary_text(r, "электроэкстракция").select(F.lit(0).alias("no"), F.col("summary").alias("text"))
+    return s.unionByName(A.limitations(r).withColumnRenamed("limitation", "text"))
+
+
 def gap_rules(spark: SparkSession, folder: str) -> DataFrame:
     return A.gap_rules(rows(spark, folder).where("process = 'электроэкстракция'"))
 
@@ -154,7 +196,7 @@ def confidence_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 def top_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Seven entities of each type by mentions, by degree where mentions are missing."""
-    n = normal(spark, folder)
+    n = kept(spark, folder)
     d = G.nodes(n).where("node_type <> 'Document'").join(G.degree(G.edges(n)), "node_id", "left")
     d = d.withColumn("weight", F.coalesce("mention_count", "degree", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("node_type").orderBy(F.desc("weight"), "name"))
@@ -171,8 +213,8 @@ def dedup_keep_first(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rank_facts(spark: SparkSession, folder: str) -> DataFrame:
-    best = rows(spark, folder).withColumn("score", A.quality_score()).orderBy(*A.ranked_columns()).limit(100)
-    return best.select(F.row_number().over(Window.orderBy(*A.ranked_columns())).alias("rank"), "fact_id", "studied_id", "score")
+    """Every fact row with its rank by quality."""
+    return A.ranked(rows(spark, folder)).select("rank", "fact_id", "studied_id", "score")
 
 
 def topk_per_group(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,7 +227,7 @@ def evidence_diversified(spark: SparkSession, folder: str) -> DataFrame:
 
 def duplicate_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Materials whose names have the same words in another order: likely duplicates, the commoner first."""
-    n = G.nodes(normal(spark, folder)).where("node_type = 'Material'").select("name", "mention_count", word_set(F.col("name")).alias("words"))
+    n = G.nodes(kept(spark, folder)).where("node_type = 'Material'").select("name", "mention_count", word_set(F.col("name")).alias("words"))
     a, b = n.select("words", F.col("name").alias("a"), F.col("mention_count").alias("na")), n.select("words", F.col("name").alias("b"), F.col("mention_count").alias("nb"))
     return a.join(b, "words").where("na > nb or na = nb and a < b").select("words", "a", "b", "na", "nb")
 
@@ -198,12 +240,9 @@ def union_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def multi_branch_search(spark: SparkSession, folder: str) -> DataFrame:
     """Text branches and filters, ORed: the facts of any branch, each once, from the first branch that has it."""
-    r = rows(spark, folder)
-    parts = [S.find_facts(r, S.FactFilter(**b)).withColumn("branch", F.lit(i)) for i, b in enumerate(BRANCHES)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return A.keep_first(u, order=("branch", "fact_id", "studied_id")).select("branch", "fact_id", "studied_id")
+    n = kept(spark, folder)
+    found = A.preset_rows(joined_rows(n), BRANCHES, S.spellings(n))
+    return A.keep_first(found, order=("branch", "fact_id", "studied_id")).select("branch", "fact_id", "studied_id")
 
 
 def set_difference(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,8 +251,7 @@ def set_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sort_multi_key(spark: SparkSession, folder: str) -> DataFrame:
-    n = normal(spark, folder)
-    best = n.orderBy(F.desc("confidence"), F.asc_nulls_first("process"), F.asc_nulls_first("material"), "fact_id").limit(200)
+    best = normal(spark, folder).orderBy(F.desc("confidence"), F.asc_nulls_first("process"), F.asc_nulls_first("material"), "fact_id")
     return best.select("fact_id", "confidence", "process", "material")
 
 
@@ -229,17 +267,29 @@ def latest_status(spark: SparkSession, folder: str) -> DataFrame:
 
 def jsonld_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Entity items of the JSON-LD export, without fields that are missing."""
-    n = G.nodes(normal(spark, folder)).where("node_type in ('Material', 'Process')")
+    n = G.nodes(kept(spark, folder)).where("node_type in ('Material', 'Process')")
     item = F.struct(F.concat(F.lit(IRI), url_encoded(F.col("node_id"))).alias("@id"), F.col("node_type").alias("@type"), F.col("display_name").alias("name"), F.array_sort(F.array_distinct("aliases")).alias("alternateName"), F.col("mention_count").alias("mentions"), F.col("variant").alias("variant"))
     return n.select("node_id", F.to_json(item).alias("item"))
 
 
+def jsonld_fact_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Fact items of the JSON-LD export: the hashed name of each row, and the keys that its item has, in their order."""
+    items = sinks.jsonld_facts(rows(spark, folder), IRI)
+    return items.select("fact_id", "studied_id", "iri", F.array_join(F.array_sort(F.json_object_keys("item")), ",").alias("keys"))
+
+
+def normalisation_report(spark: SparkSession, folder: str) -> DataFrame:
+    """(section, name, n): the parts of the normalisation report."""
+    return sinks.report_rows(kept(spark, folder)).select("section", "name", "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         top_labels, gap_matrix, matrix_cell_state, matrix_gaps, matrix_margins, cell_examples, matrix_pivot, axis_rollup, histogram_bucket, mode_unit, gap_related, quality_score, confidence_index, coverage_counts,
         normalize_before_after, merge_groups, base_groups, answer_metrics, methods_summary, experts_summary, geo_breakdown, conflicts, gap_rules, confidence_distribution, top_entities, top_sources, dedup_keep_first,
         rank_facts, topk_per_group, evidence_diversified, duplicate_pairs, union_dedup, multi_branch_search, set_difference, sort_multi_key, topk_limit, latest_status, jsonld_rows,
+        condition_matrix, matrix_cell_facts, condition_cell_facts, experiment_groups, answer_summary, jsonld_fact_rows, normalisation_report,
     )
 }
 
@@ -258,13 +308,20 @@ _RANK = "score DESC, source_file NULLS FIRST, material NULLS FIRST, process NULL
 _SCORED = f"sc AS (SELECT *, {_SCORE} AS score FROM fr)"
 
 
-def _summary_sql(group: str, limit: int) -> str:
-    return f"""WITH {SQL_ROWS}, {_SCORED}, g AS (SELECT * FROM sc WHERE {group} IS NOT NULL),
+def _tops_sql(source: str, group: str, column: str, limit: int) -> str:
+    return f"""SELECT {group}, string_agg({column}, ', ' ORDER BY no) AS top_{column} FROM (SELECT {group}, {column}, row_number() OVER (PARTITION BY {group} ORDER BY count(*) DESC, {column}) AS no
+      FROM {source} WHERE {column} IS NOT NULL GROUP BY {group}, {column}) WHERE no <= {limit} GROUP BY {group}"""
+
+
+def _summary_sql(group: str, limit: int, tops: tuple[tuple[str, int], ...], missing: str | None = None) -> str:
+    source = f"(SELECT * REPLACE (coalesce({group}, {quoted(missing)}) AS {group}) FROM sc)" if missing else "sc"
+    parts = "".join(f", t_{c} AS ({_tops_sql('g', group, c, n)})" for c, n in tops)
+    joins = " ".join(f"LEFT JOIN t_{c} USING ({group})" for c, _ in tops)
+    return f"""WITH {SQL_ROWS}, {_SCORED}, g AS (SELECT * FROM {source} WHERE {group} IS NOT NULL),
       t AS (SELECT {group}, count(*) AS facts, count(DISTINCT source_file) AS documents, max(score) AS best_score FROM g GROUP BY 1),
       b AS (SELECT * FROM t ORDER BY facts DESC, best_score DESC, {group} LIMIT {limit}),
-      f AS (SELECT {group}, source_file AS best_source FROM g QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY {_RANK}) = 1),
-      m AS (SELECT {group}, string_agg(material, ', ' ORDER BY no) AS materials FROM (SELECT {group}, material, row_number() OVER (PARTITION BY {group} ORDER BY count(*) DESC, material) AS no FROM g WHERE material IS NOT NULL GROUP BY 1, 2) WHERE no <= 3 GROUP BY 1)
-      SELECT b.{group}, facts, documents, best_score, best_source, materials FROM b LEFT JOIN f USING ({group}) LEFT JOIN m USING ({group})"""
+      f AS (SELECT {group}, source_file AS best_source, source_quote AS best_quote FROM g QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY {_RANK}) = 1){parts}
+      SELECT b.{group}, facts, documents, best_score, best_source, best_quote{''.join(f', top_{c}' for c, _ in tops)} FROM b LEFT JOIN f USING ({group}) {joins}"""
 
 
 def _keep_sql(source: str, keys: str, order: str, out: str) -> str:
@@ -272,9 +329,10 @@ def _keep_sql(source: str, keys: str, order: str, out: str) -> str:
 
 
 _BRANCH_SQL = (
-    f"material IS NOT NULL AND {match_sql(['material'], 'криолит')}", f"process IS NOT NULL AND {match_sql(['process'], 'амальгамация')}", f"property IS NOT NULL AND {match_sql(['property'], 'потери меди')}",
+    named_sql("material", "криолит"), named_sql("process", "амальгамация"), named_sql("property", "потери меди"),
     "trim(confidence) = 'low' AND coalesce(contains(lower(trim(result_unit)), 'к') OR contains('к', lower(trim(result_unit))), false)",
-)
+)
+_TEMPERATURE = f"""cp AS (SELECT r.*, (list_min(l) + list_max(l)) / 2 AS point FROM (SELECT * EXCLUDE (c), {range_sql('c.value')} AS l FROM (SELECT *, unnest(conditions) AS c FROM fr WHERE material IS NOT NULL) WHERE contains(lower(c.parameter), 'температура')) r WHERE len(l) > 0)"""
 
 SQL = {
     "top_labels": f"WITH {SQL_ROWS} SELECT material, count(DISTINCT {_K}) AS n FROM fr WHERE material IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {_K}) >= 2 ORDER BY n DESC, material LIMIT 15",
@@ -314,13 +372,36 @@ SQL = {
     "answer_metrics": f"""WITH {SQL_ROWS}, y AS (SELECT *, TRY_CAST(regexp_extract(year, '^([0-9]{{4}})$', 1) AS INTEGER) AS y FROM fr)
       SELECT count(*) AS facts, count(DISTINCT source_file) AS documents, count(DISTINCT y) AS years, count(DISTINCT location_geo) AS places, count(DISTINCT lab_or_author) AS authors, min(y) AS first_year, max(y) AS last_year,
       {', '.join(f"count(*) FILTER (confidence = '{c}') AS {c}" for c in ('high', 'medium', 'low'))} FROM y""",
-    "methods_summary": _summary_sql("process", 8),
-    "experts_summary": _summary_sql("lab_or_author", 10),
-    "geo_breakdown": _summary_sql("location_geo", 10),
-    "conflicts": f"""WITH {SQL_ROWS}, r AS (SELECT * FROM fr WHERE material IS NOT NULL AND process IS NOT NULL AND property IS NOT NULL),
-      g AS (SELECT material, process, property, count(*) AS facts, list_sort(list(DISTINCT result_value) FILTER (result_value IS NOT NULL)) AS v, list_sort(list(DISTINCT direction) FILTER (direction IS NOT NULL)) AS d FROM r GROUP BY 1, 2, 3)
-      SELECT material, process, property, facts, array_to_string(list_slice(v, 1, 8), '; ') AS result_values, array_to_string(list_slice(d, 1, 6), '; ') AS directions FROM g WHERE len(v) > 1 OR len(d) > 1
-      ORDER BY facts DESC, material, process, property LIMIT 12""",
+    "methods_summary": _summary_sql("process", 8, (("material", 3), ("property", 3)), NO_PROCESS),
+    "experts_summary": _summary_sql("lab_or_author", 10, (("source_file", 2),)),
+    "geo_breakdown": f"""WITH {SQL_ROWS} SELECT location_geo, count(*) AS facts, count(DISTINCT source_file) AS documents, min(TRY_CAST(regexp_extract(year, '^([0-9]{{4}})$', 1) AS INTEGER)) AS first_year,
+      max(TRY_CAST(regexp_extract(year, '^([0-9]{{4}})$', 1) AS INTEGER)) AS last_year FROM fr WHERE location_geo IS NOT NULL GROUP BY 1 ORDER BY facts DESC, location_geo LIMIT 10""",
+    "conflicts": f"""WITH {SQL_ROWS}, {_SCORED}, r AS (SELECT *, (material, process, property) AS grp FROM sc WHERE material IS NOT NULL AND process IS NOT NULL AND property IS NOT NULL),
+      g AS (SELECT grp, material, process, property, count(*) AS facts, list_sort(list(DISTINCT result_value) FILTER (result_value IS NOT NULL)) AS v, list_sort(list(DISTINCT direction) FILTER (direction IS NOT NULL)) AS d FROM r GROUP BY 1, 2, 3, 4),
+      b AS (SELECT * FROM g WHERE len(v) > 1 OR len(d) > 1 ORDER BY facts DESC, material, process, property LIMIT 12),
+      q AS (SELECT grp, source_quote AS best_quote FROM r WHERE grp IN (SELECT grp FROM b) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {_RANK}) = 1),
+      s AS ({_tops_sql('r', 'grp', 'source_file', 4)})
+      SELECT material, process, property, facts, array_to_string(list_slice(v, 1, 8), '; ') AS result_values, array_to_string(list_slice(d, 1, 6), '; ') AS directions, top_source_file AS sources, best_quote
+      FROM b LEFT JOIN q USING (grp) LEFT JOIN s USING (grp)""",
+    "condition_matrix": f"""WITH {SQL_ROWS}, {_TEMPERATURE}, l AS (SELECT material FROM cp GROUP BY 1 HAVING count(DISTINCT {_K}) >= 2 ORDER BY count(DISTINCT {_K}) DESC, material LIMIT 15),
+      p AS (SELECT material, point FROM cp WHERE material IN (SELECT material FROM l)),
+      e AS (SELECT min(point) AS lo, max(point) AS hi, CASE WHEN count(*) <= 1 THEN 1 ELSE greatest(5, least(8, CAST(round_even(sqrt(count(*)), 0) AS INTEGER))) END AS k FROM p),
+      i AS (SELECT material, lo, hi, k, (hi - lo) / k AS w, CAST(CASE WHEN (hi - lo) / k > 0 THEN least(floor((point - lo) / ((hi - lo) / k)), k - 1) ELSE 0 END AS INTEGER) AS bucket FROM p CROSS JOIN e)
+      SELECT material, bucket, lo + bucket * w AS low, CASE WHEN bucket = k - 1 THEN hi ELSE lo + (bucket + 1) * w END AS high, count(*) AS n FROM i GROUP BY ALL""",
+    "matrix_cell_facts": f"WITH {SQL_ROWS} SELECT fact_id, studied_id, material, process FROM fr WHERE {named_sql('material', CELL[0])} AND {named_sql('process', CELL[1])}",
+    "condition_cell_facts": f"""WITH {SQL_ROWS} SELECT fact_id, studied_id FROM fr WHERE {named_sql('material', CELL[0])}
+      AND len(list_filter(conditions, lambda c: contains(lower(c.parameter), 'температура') AND list_max({range_sql('c.value')}) >= 10 AND list_min({range_sql('c.value')}) <= 80.5)) > 0""",
+    "experiment_groups": f"""WITH {SQL_NORMAL}, e AS (SELECT material, property, {_RESULT('result_value', 'result_unit')} AS r FROM nf WHERE material IS NOT NULL AND property IS NOT NULL)
+      SELECT material, property, count(*) AS facts, array_to_string(list_slice(list_sort(list(DISTINCT r) FILTER (r IS NOT NULL)), 1, 20), '; ') AS result_values FROM e GROUP BY 1, 2""",
+    "jsonld_fact_rows": f"""WITH {SQL_ROWS} SELECT fact_id, studied_id, '{IRI}fact:' || left(sha1(concat_ws('|', coalesce('Material:' || material, 'None'), 'Process:' || process, 'Property:' || property, coalesce(result_value, 'None'), source_file,
+        coalesce(CAST(chunk_id AS VARCHAR), 'None'), coalesce(source_quote, 'None'))), 16) AS iri,
+      array_to_string(list_sort(list_filter(['@id', '@type', 'name', CASE WHEN material IS NOT NULL THEN 'material' END, 'process', 'property', 'derivedFrom', CASE WHEN result_value IS NOT NULL THEN 'value' END, CASE WHEN result_unit IS NOT NULL THEN 'unit' END,
+        CASE WHEN direction IS NOT NULL THEN 'direction' END, CASE WHEN confidence IS NOT NULL THEN 'confidence' END, 'sourceFile', CASE WHEN source_quote IS NOT NULL THEN 'sourceQuote' END, CASE WHEN year IS NOT NULL THEN 'year' END,
+        CASE WHEN location_geo IS NOT NULL THEN 'locationGeo' END, 'geoScope', CASE WHEN lab_or_author IS NOT NULL THEN 'expert' END, CASE WHEN equipment IS NOT NULL THEN 'equipment' END, CASE WHEN len(conditions) > 0 THEN 'conditions' END], lambda x: x IS NOT NULL)), ',') AS keys FROM fr""",
+    "normalisation_report": f"""WITH {SQL_NORMAL}, {SQL_EDGES}, e AS (SELECT 'material' AS kind, material AS name, material_raw AS raw FROM nf WHERE material IS NOT NULL UNION ALL SELECT 'process', process, process_raw FROM nf WHERE process IS NOT NULL)
+      SELECT kind || ' mentions' AS section, NULL AS name, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT kind || ' raw', NULL, count(DISTINCT raw) FROM e GROUP BY 1 UNION ALL SELECT kind || ' canonical', NULL, count(DISTINCT name) FROM e GROUP BY 1
+      UNION ALL SELECT 'base group', {_BASE('name')} || CASE WHEN {_VARIANT('name')} IS NOT NULL THEN ': ' || {_VARIANT('name')} ELSE '' END, count(*) FROM e WHERE kind = 'process' GROUP BY 2
+      UNION ALL SELECT 'nodes', node_type, count(*) FROM nodes GROUP BY 2 UNION ALL SELECT 'edges', edge_type, count(*) FROM edges GROUP BY 2""",
     "gap_rules": f"""WITH {SQL_ROWS}, s AS (SELECT count(*) AS n, count(DISTINCT source_file) AS docs, count(year) AS year, count(location_geo) AS geo, count(lab_or_author) AS author,
         count(*) FILTER (regexp_matches(result_value, '[0-9]')) AS numeric, count(source_quote) AS quotes, greatest(2, count(*) // 5) AS fifth FROM fr WHERE process = 'электроэкстракция'),
       r AS (SELECT 'documents' AS rule, docs AS found, CAST(3 AS BIGINT) AS needed FROM s WHERE docs < 3 UNION ALL SELECT 'year', year, fifth FROM s WHERE year < fifth UNION ALL SELECT 'geo', geo, fifth FROM s WHERE geo < fifth
@@ -332,7 +413,7 @@ SQL = {
         FROM nodes LEFT JOIN d USING (node_id) WHERE node_type <> 'Document') WHERE no <= 7""",
     "top_sources": f"WITH {SQL_NORMAL} SELECT source_file, count(*) AS n FROM nf GROUP BY 1 ORDER BY n DESC, min(fact_id) LIMIT 10",
     "dedup_keep_first": f"WITH {SQL_ROWS} {_keep_sql('fr', _KEYS, 'fact_id, studied_id NULLS FIRST', 'fact_id, studied_id')}",
-    "rank_facts": f"WITH {SQL_ROWS}, {_SCORED} SELECT CAST(row_number() OVER (ORDER BY {_RANK}) AS INTEGER) AS rank, fact_id, studied_id, score FROM sc ORDER BY rank LIMIT 100",
+    "rank_facts": f"WITH {SQL_ROWS}, {_SCORED} SELECT CAST(row_number() OVER (ORDER BY {_RANK}) AS BIGINT) AS rank, fact_id, studied_id, score FROM sc",
     "topk_per_group": f"""WITH {SQL_ROWS} SELECT process, material, n, CAST(no AS INTEGER) AS no FROM (SELECT process, material, count(*) AS n, row_number() OVER (PARTITION BY process ORDER BY count(*) DESC, material) AS no
       FROM fr WHERE material IS NOT NULL GROUP BY 1, 2) WHERE no <= 3""",
     "evidence_diversified": f"""WITH {SQL_ROWS}, {_SCORED}, r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY source_file ORDER BY {_RANK}) = 1 THEN 0 ELSE 1 END AS pass FROM sc)
@@ -344,7 +425,7 @@ SQL = {
     "multi_branch_search": f"""WITH {SQL_ROWS}, u AS ({' UNION ALL '.join(f'SELECT *, {i} AS branch FROM fr WHERE {b}' for i, b in enumerate(_BRANCH_SQL))})
       {_keep_sql('u', _KEYS, 'branch, fact_id, studied_id NULLS FIRST', 'branch, fact_id, studied_id')}""",
     "set_difference": "SELECT source_file FROM facts WHERE source_file IS NOT NULL EXCEPT SELECT source_file FROM extracted",
-    "sort_multi_key": f"WITH {SQL_NORMAL} SELECT fact_id, confidence, process, material FROM nf ORDER BY confidence DESC NULLS LAST, process NULLS FIRST, material NULLS FIRST, fact_id LIMIT 200",
+    "sort_multi_key": f"WITH {SQL_NORMAL} SELECT fact_id, confidence, process, material FROM nf ORDER BY confidence DESC NULLS LAST, process NULLS FIRST, material NULLS FIRST, fact_id",
     "latest_status": "SELECT submission_id, status, row_id, n FROM (SELECT submission_id, status, row_id, count(*) OVER (PARTITION BY submission_id) AS n, row_number() OVER (PARTITION BY submission_id ORDER BY submitted_at DESC NULLS LAST, row_id DESC) AS k FROM expert_submissions WHERE submission_id IS NOT NULL) WHERE k = 1",
     "jsonld_rows": f"""WITH {SQL_NORMAL}, {SQL_MENTIONS} SELECT node_id, '{{"@id":' || to_json('{IRI}' || url_encode(node_id)) || ',"@type":' || to_json(node_type) || ',"name":' || to_json(display_name) || ',"alternateName":' || to_json(list_sort(list_distinct(aliases)))
       || ',"mentions":' || mention_count || CASE WHEN variant IS NOT NULL THEN ',"variant":' || to_json(variant) ELSE '' END || '}}' AS item FROM nodes WHERE node_type IN ('Material', 'Process')""",

@@ -8,6 +8,7 @@ from orelode.functions.nulls import NULL_TEXTS
 from orelode.functions.text import DOMESTIC, FOREIGN, WS
 from orelode.functions.units import SPELLINGS, UNITS
 from orelode.operators.facts import clean_facts, fact_rows, normal_facts
+from orelode.session import stored
 from orelode.sources.tables import table
 
 
@@ -19,8 +20,13 @@ def normal(spark: SparkSession, folder: str) -> DataFrame:
     return normal_facts(table(spark, folder, "facts"), table(spark, folder, "synonyms"))
 
 
+def kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The normalised facts written once, for plans that read them several times."""
+    return stored(normal(spark, folder), "normal")
+
+
 def rows(spark: SparkSession, folder: str) -> DataFrame:
-    return fact_rows(normal(spark, folder))
+    return fact_rows(kept(spark, folder))
 
 
 def quoted(text: str) -> str:
@@ -71,6 +77,9 @@ def unit_part_sql(canonical: str, part: int) -> str:
     return f"CAST(CASE {canonical} " + " ".join(f"WHEN {quoted(k)} THEN {show(v[part])}" for k, v in UNITS.items()) + f" END AS {kind})"
 
 
+SQL_UNITS = "units AS (SELECT * FROM (VALUES " + ", ".join(f"({quoted(k)}, {quoted(UNITS[u][0])}, {UNITS[u][1]!r}::DOUBLE, {UNITS[u][2]!r}::DOUBLE)" for k, u in SPELLINGS.items()) + ") t(spelling, dim, scale, shift))"
+
+
 def range_sql(x: str) -> str:
     """LIST of the signed decimals of a text, as number_range reads them."""
     t = f"translate({x}, ',–—−~∼', '.---  ')"

@@ -9,6 +9,7 @@ from orelode.operators.chunking import chunked
 from orelode.operators.facts import normal_facts
 from orelode.operators.graph import edges, nodes
 from orelode.operators.mojibake import repaired
+from orelode.plans.scalars import _TRIM, DOC_CLEAN_SQL, PARAGRAPHS_SQL
 from orelode.sources.documents import scan_documents
 from orelode.sources.extraction import extract, rule_extractor
 from orelode.sources.records import facts_of, read_records
@@ -44,4 +45,17 @@ def build(spark: SparkSession, root: str, work: str, synonyms: DataFrame) -> tup
 
 
 QUERIES = {"chunk_greedy": chunk_greedy, "mojibake_repair": mojibake_repair, "extraction": extraction}
-SQL: dict[str, str] = {}
+_WINDOWS = f"list_filter(list_transform(range(0, CAST(ceil((length(p) - 3000) / 2700.0) AS BIGINT) + 1), lambda k: {_TRIM('substring(p, k * 2700 + 1, 3000)')}), lambda x: x <> '')"
+_TAIL = _TRIM("right(open, 300)")
+SQL = {
+    # one step takes one paragraph: what it closes, and what stays open
+    "chunk_greedy": f"""WITH RECURSIVE t AS (SELECT text_id, {PARAGRAPHS_SQL(DOC_CLEAN_SQL('text'))} AS l FROM extracted WHERE text IS NOT NULL),
+      r AS (SELECT text_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS closed, '' AS open FROM t
+        UNION ALL SELECT text_id, i + 1,
+          CASE WHEN length(p) > 3000 THEN list_concat(CASE WHEN open = '' THEN [] ELSE [open] END, {_WINDOWS}) WHEN open = '' OR length(open) + 2 + length(p) <= 3000 THEN [] ELSE [open] END,
+          CASE WHEN length(p) > 3000 THEN '' WHEN open = '' THEN p WHEN length(open) + 2 + length(p) <= 3000 THEN open || chr(10) || chr(10) || p
+            WHEN {_TAIL} = '' THEN p ELSE {_TAIL} || chr(10) || chr(10) || p END
+        FROM (SELECT r.*, list_extract(l, i + 1) AS p FROM r JOIN t USING (text_id) WHERE i < len(l))),
+      c AS (SELECT text_id, i, unnest(closed) AS chunk, unnest(range(1, len(closed) + 1)) AS k FROM r UNION ALL SELECT text_id, i + 1, open, 1 FROM r JOIN t USING (text_id) WHERE i = len(l) AND open <> '')
+      SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY i, k) AS chunk_id, length(chunk) AS n_chars, md5(chunk) AS digest FROM c""",
+}

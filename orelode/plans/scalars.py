@@ -130,7 +130,11 @@ def split_explode_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def year_extract(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaned(spark, folder).select("fact_id", "year", T.year(F.col("year")).alias("found"))
+    return cleaned(spark, folder).select("fact_id", "year", T.year(F.col("year")).alias("found"), T.year_text(F.col("year")).alias("kept"))
+
+
+def document_context(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "extracted").select("text_id", F.md5(T.document_context(F.col("text"))).alias("digest"))
 
 
 def category(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,6 +233,8 @@ _PLAIN = lambda x: collapse_sql(rf"regexp_replace({x}, '\([^()]*\)', ' ', 'g')")
 _BASE = lambda x: f"list_extract(string_split({_PLAIN(x)}, ' '), -1)"
 _VARIANT = lambda x: f"nullif(array_to_string(list_slice(string_split({_PLAIN(x)}, ' '), 1, -2), ' '), '')"
 _TRIM = lambda x: f"regexp_replace({x}, '^{T.WS}+|{T.WS}+$', '', 'g')"
+DOC_CLEAN_SQL = lambda x: _TRIM(rf"regexp_replace(regexp_replace(replace({x}, chr(0), ''), '[ \t\x{{a0}}]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+PARAGRAPHS_SQL = lambda x: rf"list_filter(list_transform(regexp_split_to_array({x}, '\n{T.WS}*\n'), lambda p: {_TRIM('p')}), lambda p: p <> '')"
 _RESULT = lambda v, u: f"CASE WHEN {v} IS NOT NULL THEN CASE WHEN {u} IS NULL OR contains(lower({v}), lower({u})) THEN {v} ELSE concat_ws(' ', {v}, {u}) END END"
 _YEAR = r"(?:^|[^0-9A-Za-zА-Яа-яЁё_])((?:18|19|20)[0-9]{2})(?:[^0-9A-Za-zА-Яа-яЁё_]|$)"
 
@@ -238,7 +244,7 @@ QUERIES = {
     "paragraphs": paragraphs, "chunk_sliding": chunk_sliding, "entity_normalize": entity_normalize, "paren_alias": paren_alias, "base_variant": base_variant, "geo_scope": geo_scope,
     "split_explode_dedup": split_explode_dedup, "year_extract": year_extract, "category": category, "number_range": number_ranges, "unit_clean": unit_clean, "unit_dimension": unit_dimension,
     "unit_convert": unit_convert, "split_words": split_words, "stem_words": stem_words, "result_text": result_text, "condition_text": condition_text, "condition_points": condition_points,
-    "compact_text": compact_text, "try_number": try_number, "word_set_signature": word_set_signature, "nan_to_null": nan_to_null, "bucket_label": bucket_label, "fact_hash_id": fact_hash_id,
+    "compact_text": compact_text, "try_number": try_number, "word_set_signature": word_set_signature, "nan_to_null": nan_to_null, "bucket_label": bucket_label, "fact_hash_id": fact_hash_id, "document_context": document_context,
 }
 
 SQL = {
@@ -255,7 +261,7 @@ SQL = {
       FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '```json' || chr(10) || text || chr(10) || '```' ELSE text END AS a FROM documents)""",
     "null_fold": f"SELECT fact_id, {', '.join(f'{clean_sql(c)} AS {c}' for c in ('material', 'process', 'location_geo', 'lab_or_author'))} FROM facts",
     "collapse_spaces": f"SELECT fact_id, {collapse_sql('source_quote')} AS quote FROM facts",
-    "doc_clean": f"""WITH d AS (SELECT doc_id, {_TRIM(r"regexp_replace(regexp_replace(replace(text, chr(0), ''), '[ \t\x{a0}]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM documents)
+    "doc_clean": f"""WITH d AS (SELECT doc_id, {DOC_CLEAN_SQL('text')} AS t FROM documents)
       SELECT doc_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n_chars FROM d""",
     "paragraphs": rf"""WITH p AS (SELECT text_id, list_filter(list_transform(regexp_split_to_array(text, '\n{T.WS}*\n'), lambda p: {_TRIM('p')}), lambda p: p <> '') AS l FROM extracted)
       SELECT text_id, CAST(i AS BIGINT) AS para_no, md5(p) AS digest FROM (SELECT text_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS i FROM p)""",
@@ -269,7 +275,8 @@ SQL = {
     "split_explode_dedup": f"""WITH {SQL_CLEAN}, l AS (SELECT fact_id, string_split_regex(replace(replace(replace(lab_or_author, ' и др', chr(1) || 'др'), ' и ', ';'), chr(1) || 'др', ' и др'), '[;,]') AS l FROM cf WHERE lab_or_author IS NOT NULL),
       e AS (SELECT fact_id, {clean_sql('x')} AS expert, i FROM (SELECT fact_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM l))
       SELECT fact_id, arg_min(expert, i) AS expert FROM e WHERE expert IS NOT NULL AND length(expert) >= 2 GROUP BY fact_id, lower(expert)""",
-    "year_extract": f"WITH {SQL_CLEAN} SELECT fact_id, year, TRY_CAST(regexp_extract(year, '{_YEAR}', 1) AS INTEGER) AS found FROM cf",
+    "year_extract": f"WITH {SQL_CLEAN} SELECT fact_id, year, TRY_CAST(regexp_extract(year, '{_YEAR}', 1) AS INTEGER) AS found, coalesce(nullif(regexp_extract(year, '{_YEAR}', 1), ''), year) AS kept FROM cf",
+    "document_context": f"""SELECT text_id, md5(left({DOC_CLEAN_SQL('text')}, 500)) AS digest FROM extracted""",
     "category": "SELECT fact_id, CASE WHEN contains(source_file, '__') THEN list_extract(string_split(source_file, '__'), 1) END AS category FROM facts",
     "number_range": f"WITH {SQL_CLEAN}, r AS (SELECT fact_id, {range_sql('result_value')} AS l FROM cf) SELECT fact_id, list_min(l) AS lo, list_max(l) AS hi FROM r",
     "unit_clean": f"SELECT {unit_clean_sql('result_unit')} AS unit, count(*) AS n FROM facts WHERE result_unit IS NOT NULL GROUP BY 1",

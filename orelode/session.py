@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,13 +32,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which all executors share.
 
-    Only where the setting is unset (tests, notebooks on one machine) a folder of this machine is set.
+    Where the setting is unset, a local master gets a folder of this machine (tests, notebooks); on a cluster that is an
+    error, as the executors would not share it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the executors of {master} share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "orelode-checkpoints")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -71,6 +71,13 @@ def read_file(path: str, root: str, data: bytes | None, length: int) -> tuple:
     return (*base, text, len(text), "ok", None)
 
 
+def read_upload(name: str, data: bytes) -> tuple:
+    """One uploaded file as a row of SCHEMA; its name is made safe, other types than those of READERS are skipped."""
+    stem, _, kind = name.replace("\\", "/").rpartition("/")[2].rpartition(".")
+    safe = re.sub(r"[^\w.-]|_", "_", stem)[:120] or "upload"
+    return read_file(f"upload/{safe}.{kind.lower()}", "upload", data, len(data))
+
+
 def scan_documents(spark: SparkSession, root: str, folders: tuple[str, ...] = ()) -> DataFrame:
     """One row a file under root, in whose relative path one of ``folders`` stands (all if none are given).
 

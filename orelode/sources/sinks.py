@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from orelode.functions.text import url_encoded
+from orelode.functions.text import base_variant, url_encoded
+from orelode.operators.graph import edges as graph_edges
+from orelode.operators.graph import nodes as graph_nodes
 
 
 def write_records(df: DataFrame, path: str) -> None:
@@ -37,15 +40,48 @@ def node_link(nodes: DataFrame, edges: DataFrame, updated_at: str) -> str:
     return json.dumps({"directed": True, "multigraph": True, "graph": {"updated_at": updated_at}, "nodes": rows(nodes), "links": rows(edges)}, ensure_ascii=False)
 
 
-def jsonld_facts(rows: DataFrame, base: str = "urn:ore:") -> DataFrame:
-    """(fact_id, item): JSON-LD of each fact row, without fields that are missing."""
-    iri = lambda kind, c: F.when(F.col(c).isNotNull(), F.struct(F.concat(F.lit(base + kind + ":"), url_encoded(F.col(c))).alias("@id")))
+def jsonld_facts(rows: DataFrame, base: str = "urn:ore:", links: bool = True) -> DataFrame:
+    """(fact_id, studied_id, iri, item): JSON-LD of each fact row, without fields that are missing.
+
+    iri is a hash of what makes the row: its entities, value, file, chunk and quote. links: entities as references, as in the
+    export of the graph; else as plain names, as in the export of an answer.
+    """
+    kinds = {"material": "Material:", "process": "Process:", "property": "Property:"}
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    parts = [text(F.concat(F.lit(k), F.col(c))) for c, k in kinds.items()] + [text(F.col(c)) for c in ("result_value", "source_file", "chunk_id", "source_quote")]
+    iri = F.concat(F.lit(base + "fact:"), F.left(F.sha1(F.concat_ws("|", *parts)), F.lit(16)))
+    entity = lambda c, k: F.concat(F.lit(base), url_encoded(F.concat(F.lit(k), F.col(c)))) if links else F.col(c)
+    plain = {
+        "value": "result_value", "unit": "result_unit", "direction": "direction", "confidence": "confidence", "verificationStatus": "verification_status", "sourceFile": "source_file", "sourceQuote": "source_quote", "year": "year",
+        "locationGeo": "location_geo", "geoScope": "geo_scope", "expert": "lab_or_author", "equipment": "equipment", "updatedAt": "updated_at",
+    }
+    condition = lambda c: F.struct(F.lit("ProcessCondition").alias("@type"), c["parameter"].alias("parameter"), c["value"].alias("value"), c["unit"].alias("unit"))
     item = F.struct(
-        F.concat(F.lit(base + "fact:"), F.col("fact_id").cast("string")).alias("@id"), F.lit("Fact").alias("@type"), iri("Material", "material").alias("material"), iri("Process", "process").alias("process"),
-        F.col("property"), F.col("result_value").alias("value"), F.col("result_unit").alias("unit"), F.when(F.size("conditions") > 0, F.col("conditions")).alias("conditions"),
-        F.col("source_file").alias("source"), F.col("source_quote").alias("quote"), F.col("year"), F.col("confidence"),
+        iri.alias("@id"), F.lit("ResearchFact").alias("@type"), F.coalesce("property", F.lit("result")).alias("name"), *[entity(c, k).alias(c) for c, k in kinds.items()],
+        *([entity("source_file", "Document:").alias("derivedFrom")] if links else []), *[F.col(c).alias(k) for k, c in plain.items() if c in rows.columns],
+        F.when(F.size("conditions") > 0, F.transform("conditions", condition)).alias("conditions"),
     )
-    return rows.select("fact_id", F.to_json(item).alias("item"))
+    return rows.select("fact_id", "studied_id", iri.alias("iri"), F.to_json(item).alias("item"))
+
+
+def report_rows(normal: DataFrame) -> DataFrame:
+    """(section, name, n): the normalisation report as rows: mentions, spellings and names before and after, groups of processes by their last word, nodes and edges by type."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("name"), F.col(f"{c}_raw").alias("raw")) for c in ("material", "process")])
+    e = normal.select(F.explode(pairs).alias("e")).select("e.*").where("name is not null")
+    counts = e.groupBy("kind").agg(F.count("*").alias("mentions"), F.countDistinct("raw").alias("raw"), F.countDistinct("name").alias("canonical"))
+    none = F.lit(None).cast("string")
+    parts = [counts.select(F.concat("kind", F.lit(f" {c}")).alias("section"), none.alias("name"), F.col(c).alias("n")) for c in ("mentions", "raw", "canonical")]
+    base, variant = base_variant(F.col("name"))
+    parts.append(e.where("kind = 'process'").groupBy(F.lit("base group").alias("section"), F.concat_ws(": ", base, variant).alias("name")).agg(F.count("*").alias("n")))
+    parts.append(graph_nodes(normal).groupBy(F.lit("nodes").alias("section"), F.col("node_type").alias("name")).agg(F.count("*").alias("n")))
+    parts.append(graph_edges(normal).groupBy(F.lit("edges").alias("section"), F.col("edge_type").alias("name")).agg(F.count("*").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_report(normal: DataFrame, path: str) -> None:
+    """The normalisation report as one text of a line for each of its rows, and as many as there are names of processes."""
+    lines = report_rows(normal).select(F.concat_ws("\t", "section", F.coalesce("name", F.lit("")), F.col("n").cast("string")).alias("line"))
+    lines.sort("line").coalesce(1).write.mode("overwrite").text(path)
 
 
 def jsonld_document(items: Iterable[str], context: dict | None = None) -> str:

@@ -32,9 +32,28 @@ def arrivals(log: DataFrame, delay: str = "1 day", window: str = "1 day") -> Dat
 
 
 def keep_status(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Write the current status of all submissions to target after every batch of new rows."""
+    """Write the latest row of each submission among the new rows of a batch to target, one folder a batch.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    No state is kept and nothing is rewritten: a batch that is repeated overwrites its own folder only, and ``read_status``
+    takes the latest of all batches.
+    """
 
-    return current_status(log).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write).start()
+    def write(batch: DataFrame, number: int) -> None:
+        at = F.struct("submitted_at", "row_id")
+        latest = batch.where("submission_id is not null").groupBy("submission_id").agg(F.max_by(F.struct("submitted_at", "row_id", "status"), at).alias("s"))
+        latest.select("submission_id", "s.*").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return log.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
+
+
+def read_status(spark: SparkSession, target: str) -> DataFrame:
+    """(submission_id, status, row_id) over all batches that keep_status has written to target."""
+    return current_status(spark.read.parquet(target))
+
+
+def set_status(spark: SparkSession, log: str, row_id: int, submission_id: str, status: str, at: str, note: str | None = None) -> None:
+    """Append a row that moves one submission to ``status`` to the log; the rows before stay as they are."""
+    if status not in (*OPEN, *CLOSED):
+        raise ValueError(f"unknown status {status}")
+    row = spark.createDataFrame([(row_id, submission_id, status, note)], "row_id long, submission_id string, status string, comment string")
+    row.withColumn("submitted_at", F.lit(at).cast("timestamp")).write.mode("append").json(log)

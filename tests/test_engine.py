@@ -49,6 +49,40 @@ def test_units_decide_a_condition(normal):
     assert ids(material="???") == set() and ids() == {1, 2, 3, 4, 5, 6, 7} and ids(result_unit="г/л", result_value_max=1) == {1, 2}
 
 
+def test_each_spelling_matches_on_its_own(spark, normal):
+    nodes = spark.createDataFrame([("Material:x", "Material", "x", "x", ["медный кек", "шлак плавки"], "x"), ("Material:y", "Material", "y", None, None, "медный шлак")], "node_id string, node_type string, name string, display_name string, aliases array<string>, base string")
+    assert S.matching_nodes(nodes, "медный шлак").count() == 0 and S.matching_nodes(nodes, "шлак плавки").count() == 1
+    assert [r["name"] for r in S.matching_nodes(nodes, "медный шлак", include_base=True).collect()] == ["y"]
+    synonyms = spark.createDataFrame([(1, "медный кек", ["кек меди"])], "canonical_id int, canonical string, aliases array<string>")
+    typed = normal_facts(spark.createDataFrame([(1, "Кек меди", *ROWS[0][2:]), *ROWS[1:]], SCHEMA), synonyms)
+    ids = lambda q: {r["fact_id"] for r in S.find_facts(typed, S.FactFilter(material=q), names=S.spellings(typed)).collect()}
+    assert ids("кек меди") == {1, 7} == ids("медный кек") and ids("???") == set()
+
+
+def test_conditions_take_units_apart_once(spark):
+    c = lambda *x: [dict(zip(("parameter", "value", "unit"), v)) for v in x]
+    rows = [(1, c(("t", "104 - 140", "°F"))), (2, c(("t", "50", "мг/л"))), (3, c(("t", "45", None), ("t", "x", "°C"))), (4, None), (5, c((None, None, None))), (6, c(("Ток", "5", "кА/м2")))]
+    df = spark.createDataFrame(rows, "id long, conditions array<struct<parameter:string,value:string,unit:string>>")
+    ids = lambda *a: {r["id"] for r in df.where(S.conditions_match(F.col("conditions"), *a)).collect()}
+    assert ids("T", 40, 60, "°C") == {1} and ids(None, None, None, "°C") == {1, 3} and ids("ток", None, None, "кА") == {6} and ids("ток", 6, None, "кА/м2") == set()
+    assert ids(None, 45, None, None) == {1, 2, 3} and ids("нет", None, None, None) == set()
+
+
+def test_matrix_of_a_condition(spark, normal):
+    rows = fact_rows(normal)
+    m = M.condition_matrix(rows, "концентрация", least=1).collect()
+    assert [(r["material"], r["n"], r["low"], r["high"]) for r in m] == [("кек", 1, 0.5, 0.5), ("шлак", 1, 0.5, 0.5)]
+    assert M.condition_matrix(rows, "нет такой").count() == 0
+    assert M.axis_filter("Materials", "кек") == {"material": "кек"} and M.axis_filter("results", "x") == {"property_query": "x"} and M.axis_filter("colour", "x") == {}
+    assert M.title("material", "process") == "material × process" and M.axis("??") is None
+
+
+def test_ranks_are_whole(spark, normal):
+    rows = fact_rows(normal)
+    got = [(r["rank"], r["score"]) for r in A.ranked(rows).orderBy("rank").collect()]
+    assert [r for r, _ in got] == list(range(1, rows.count() + 1)) and [s for _, s in got] == sorted((s for _, s in got), reverse=True)
+
+
 def test_graph_counts(normal):
     n = {r["node_id"]: r["mention_count"] for r in G.nodes(normal).collect()}
     assert n["Material:кек"] == 4 and n["Equipment:печь"] == 2 and "Equipment:мельница" not in n and n["Expert:Иванов"] == 2 and n["Document:unknown_source_5"] == 1
@@ -87,6 +121,7 @@ def test_answers(normal):
     rules = {r["rule"] for r in A.gap_rules(rows).collect()}
     assert "quotes" in rules and "none" not in rules
     assert [r["rule"] for r in A.gap_rules(rows.where("fact_id < 0")).collect()] == ["empty"]
+    assert A.limitations(rows).count() == 3 and A.limitations(rows.where("fact_id < 0")).count() == 4 and A.summary_text(rows, "t").first()["summary"].startswith("7 facts from 3 documents")
     assert A.metrics(rows).first()["facts"] == 7 and A.summary(rows, "process", 5).first()["documents"] == 3
 
 

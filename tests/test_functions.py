@@ -10,6 +10,7 @@ from orelode.functions import units as U
 from orelode.functions.numbers import interval, number_range
 from orelode.operators.chunking import greedy_chunks
 from orelode.operators.mojibake import repair_text
+from orelode.session import shared_folder
 from orelode.operators.search import FactFilter, query_variants
 
 
@@ -73,13 +74,28 @@ def test_queries_of_words():
     assert FactFilter.of({"material": "", "value_min": "1,5", "year_min": "x", "other": 1}) == FactFilter(value_min=1.5)
 
 
-def test_greedy_chunks():
-    assert greedy_chunks("") == [] and greedy_chunks(" \n\n ") == []
+def test_greedy_chunks(spark):
     text = "\n\n".join(ch * 1400 for ch in "abc") + "\n\n" + "d" * 6000
-    chunks = greedy_chunks(text)
+    gaps = "e" * 2690 + " " * 20 + "f" * 800  # a window ends in blanks, which cleaning makes one
+    found = values(spark, greedy_chunks, ["", " \n\n ", None, text, gaps, "a \t b\0\n\n\n\nc"])
+    assert found[:3] == [[], [], None] and found[5] == ["a b\n\nc"]
+    chunks = found[3]
     assert chunks[0] == "a" * 1400 + "\n\n" + "b" * 1400
     assert chunks[1] == "b" * 300 + "\n\n" + "c" * 1400
     assert [len(c) for c in chunks[2:]] == [3000, 3000, 600]
+    assert found[4][0] == "e" * 2690 + " " + "f" * 309 and found[4][1].startswith("f")
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Java:
+        getCheckpointDir = staticmethod(lambda: type("None_", (), {"isDefined": staticmethod(lambda: False)}))
+
+    context = type("Context", (), {"master": "local-cluster[3,2,1024]", "_jsc": type("J", (), {"sc": staticmethod(lambda: Java)})})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(type("Session", (), {"conf": Conf, "sparkContext": context}))
 
 
 def test_mojibake():

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from orelode.operators.facts import normal_facts
@@ -76,9 +77,27 @@ def test_extractor_retries_and_keeps_failures(spark):
 def test_markdown_and_jsonld(spark):
     df = spark.createDataFrame([(1, "a|b", None)], "id long, x string, y string")
     assert "a\\|b" in sinks.markdown_answer("t", {"p": df, "none": df.where("id > 1")})
-    rows = spark.createDataFrame([(1, "шлак", "обжиг", "p", "1", None, [], "f", None, None, "high")], "fact_id long, material string, process string, property string, result_value string, result_unit string, conditions array<string>, source_file string, source_quote string, year string, confidence string")
+    fields = "fact_id long, studied_id long, material string, process string, property string, result_value string, result_unit string, conditions array<struct<parameter:string,value:string,unit:string>>, source_file string, source_quote string, year string, confidence string, direction string, location_geo string, geo_scope string, lab_or_author string, equipment string, chunk_id int"
+    rows = spark.createDataFrame([(1, 1, "шлак", "обжиг", "p", "1", None, [], "f", None, None, "high", None, "Чили", "foreign", "Иванов", "печь", 1)], fields)
     item = json.loads(sinks.jsonld_document([r["item"] for r in sinks.jsonld_facts(rows).collect()]))["@graph"][0]
-    assert item["@id"] == "urn:ore:fact:1" and "unit" not in item and "conditions" not in item
+    assert item["@id"].startswith("urn:ore:fact:") and len(item["@id"]) == 29 and "unit" not in item and "conditions" not in item
+    assert (item["expert"], item["equipment"], item["locationGeo"], item["derivedFrom"]) == ("Иванов", "печь", "Чили", "urn:ore:Document%3Af")
+    plain = json.loads(sinks.jsonld_facts(rows, links=False).first()["item"])
+    assert plain["material"] == "шлак" and "derivedFrom" not in plain
+
+
+def test_report_and_upload(spark, tmp_path):
+    from orelode.operators.facts import normal_facts
+    from orelode.sources.documents import read_upload
+    from tests.test_engine import ROWS, SCHEMA
+
+    synonyms = spark.createDataFrame([(1, "медный кек", ["кек меди"])], "canonical_id int, canonical string, aliases array<string>")
+    normal = normal_facts(spark.createDataFrame(ROWS, SCHEMA), synonyms)
+    rows = {(r["section"], r["name"]): r["n"] for r in sinks.report_rows(normal).collect()}
+    assert rows["material mentions", None] == 6 and rows["material canonical", None] == 3 and rows["base group", "обжиг"] == 6 and rows["nodes", "Process"] == 1
+    sinks.write_report(normal, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).count() == len(rows)
+    assert read_upload("..\\a b.TXT", "текст".encode())[3:5] == ("upload__a_b.txt.txt", "текст") and read_upload("x.exe", b"")[6] == "skipped"
 
 
 def test_stream(spark, tmp_path):
@@ -91,5 +110,10 @@ def test_stream(spark, tmp_path):
     (log / "2.json").write_text("\n".join([row(4, "a", "2024-01-03T00:00:00Z", "approved"), row(3, "a", "2024-01-01T00:00:00Z", "needs_review")]))
     query.processAllAvailable()
     query.stop()
-    assert {r["submission_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": "approved", "b": "submitted"}
+    assert {r["submission_id"]: r["status"] for r in submissions.read_status(spark, str(tmp_path / "out")).collect()} == {"a": "approved", "b": "submitted"}
+    submissions.set_status(spark, str(log), 9, "b", "rejected", "2024-02-01 00:00:00")
+    now = submissions.current_status(submissions.read_log(spark, str(log), False))
+    assert {r["submission_id"]: r["status"] for r in now.collect()} == {"a": "approved", "b": "rejected"}
+    with pytest.raises(ValueError):
+        submissions.set_status(spark, str(log), 10, "b", "unheard of", "2024-02-01 00:00:00")
     assert submissions.status_counts(submissions.read_log(spark, str(log), False)).where(F.col("status") == "submitted").first()["n"] == 3
