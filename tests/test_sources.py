@@ -97,7 +97,7 @@ def test_report_and_upload(spark, tmp_path):
     assert rows["material mentions", None] == 6 and rows["material canonical", None] == 3 and rows["base group", "обжиг"] == 6 and rows["nodes", "Process"] == 1
     sinks.write_report(normal, str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).count() == len(rows)
-    assert read_upload("..\\a b.TXT", "текст".encode())[3:5] == ("upload__a_b.txt.txt", "текст") and read_upload("x.exe", b"")[6] == "skipped"
+    assert read_upload("..\\a b.TXT", "текст".encode())[3:5] == ("a_b.txt.txt", "текст") and read_upload("x.exe", b"")[6] == "skipped"
 
 
 def test_stream(spark, tmp_path):
