@@ -16,10 +16,8 @@ from orelode.sources.tables import table
 # White space and invisible characters, and all punctuation but signs inside numbers: a point, comma, colon or slash
 # directly between digits, a dash between digits, a minus before a digit at the start, after a blank or a bracket.
 BLANK = r"\s ­  -‍    ⁠　﻿"
-FORM = (
-    rf"[{BLANK}]+|[\p{{P}}&&[^.,:/\-]]+|[.,:/](?!(?<=\d.)\d)"
-    rf"|-(?!(?<=\d[{BLANK}]{{0,4}}-)[{BLANK}]{{0,4}}\d)(?!(?<=(?:^|[{BLANK}(\[«“\"])-)\d)"
-)
+BLANKS = f"[{BLANK}]+"
+FORM = r" |[\p{P}&&[^.,:/\-]]+|[.,:/](?!(?<=\d.)\d)|-(?!(?<=\d ?-) ?\d)(?!(?<=(?:^|[ (\[«“\"])-)\d)"
 END = "\u0001"
 MISSING = "\u0000"
 
@@ -27,7 +25,7 @@ MISSING = "\u0000"
 def canonical(text: Column) -> Column:
     """text without case, white space and punctuation; dashes alike, signs inside numbers kept; NULL stays apart."""
     one_dash = F.translate(F.lower(text), "‐‑‒–—―−", "-------")
-    return F.coalesce(F.regexp_replace(one_dash, FORM, ""), F.lit(MISSING))
+    return F.coalesce(F.regexp_replace(F.regexp_replace(one_dash, BLANKS, " "), FORM, ""), F.lit(MISSING))
 
 
 def record_key(unordered: list[str], ordered: list[str]) -> Column:
@@ -86,7 +84,8 @@ def copies(df: DataFrame, key: Column, id_column: str) -> DataFrame:
     runs that go over the border of partitions are joined by the first and last key of each partition, the only rows the
     driver sees, two a partition. Rows whose key is NULL take no part. Ids are unique; an empty table gives no rows.
     """
-    keyed = df.select(key.alias("key"), F.col(id_column).cast("bigint").alias("id")).where("key is not null")
+    # stored, as the borders of the ranges are drawn from the keys before these are sorted
+    keyed = stored(df.select(key.alias("key"), F.col(id_column).cast("bigint").alias("id")).where("key is not null"), "keys")
     runs = stored(keyed.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_scan, RUNS), "copies")
     edges: dict[int, dict] = {}
     for r in runs.where("kind <> 'row'").collect():
@@ -143,14 +142,14 @@ _BLANK = r"\s\x{a0}\x{ad}\x{1680}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205
 
 def _canonical_sql(x: str) -> str:
     """canonical as SQL without lookaround: kept signs become control characters first, twice, as neighbours share digits."""
-    t = f"translate(lower({x}), '‐‑‒–—―−', '-------')"
+    t = f"regexp_replace(translate(lower({x}), '‐‑‒–—―−', '-------'), '[{_BLANK}]+', ' ', 'g')"
     for i, sign in enumerate(".,:/", 1):
         for _ in range(2):
             t = rf"regexp_replace({t}, '(\d)[{sign}](\d)', '\1' || chr({i}) || '\2', 'g')"
     for _ in range(2):
-        t = rf"regexp_replace({t}, '(\d)[{_BLANK}]{{0,4}}-[{_BLANK}]{{0,4}}(\d)', '\1' || chr(5) || '\2', 'g')"
-    t = rf"""regexp_replace({t}, '(^|[{_BLANK}(\[«“"])-(\d)', '\1' || chr(6) || '\2', 'g')"""
-    return rf"coalesce(regexp_replace({t}, '[{_BLANK}]+|\p{{P}}', '', 'g'), chr(7))"
+        t = rf"regexp_replace({t}, '(\d) ?- ?(\d)', '\1' || chr(5) || '\2', 'g')"
+    t = rf"""regexp_replace({t}, '(^|[ (\[«“"])-(\d)', '\1' || chr(6) || '\2', 'g')"""
+    return rf"coalesce(regexp_replace({t}, ' |\p{{P}}', '', 'g'), chr(7))"
 
 
 _KEYED = f"""k AS (SELECT *, list_sort([{_canonical_sql('material')}, {_canonical_sql('process')}]) AS a, {_canonical_sql('source_quote')} AS q, {_canonical_sql('result_property')} AS p,

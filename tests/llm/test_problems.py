@@ -35,6 +35,8 @@ def test_copies_keep_signs_in_numbers(spark):
     texts = ["потери 7,5 %", "Потери  7,5%.", "потери 75 %", "потери 7.5 %", "«потери» 7,5 %!", "от 4517 - 4980", "от 4517–4980", "от 45174980", "t -5", "t 5", "a - 5", "a 5"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
     k = [r["k"] for r in df.select("i", copies.canonical(F.col("t")).alias("k")).orderBy("i").collect()]
+    blanks = [r["k"] for r in spark.createDataFrame([(i, f"5{' ' * i}-{' ' * j}6") for i in range(12) for j in (0, 1, 9, 60)], "i long, t string").select(copies.canonical(F.col("t")).alias("k")).collect()]
+    assert set(blanks) == {"5-6"}  # a dash between numbers stays, however many blanks stand around it
     assert k[0] == k[1] == k[4] and len({k[0], k[2], k[3]}) == 3 and k[5] == k[6] != k[7] and k[8] != k[9] and k[10] == k[11]
 
 
@@ -257,11 +259,35 @@ def test_classes_of_text(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, words string")
     found = {r["doc_id"]: r for r in prose.described(df, "doc_id", "text").collect()}
     assert [(t and t[:30], found[i]["text_class"]) for i, t, _ in rows] == [(t and t[:30], k) for _, t, k in rows]
-    assert all((found[i]["text_class"] == "prose") == (not found[i]["reasons"]) for i, _, _ in rows)
+    deciding = {"empty", "junk_lines", "mostly_symbols", "mostly_digits", "few_distinct_words", "few_common_words", "table_rows", "list_entries"}
+    assert all((found[i]["text_class"] == "prose") == (not deciding & set(found[i]["reasons"])) for i, _, _ in rows)
+    # a text alone has what it has among others
+    for i, t, _ in rows:
+        alone = [c[0].as_py() for c in prose.described_batch([t or ""])]
+        assert [v if v == v else None for v in alone] == [found[i][c] for c in prose.FIELDS]
     r = prose.described(spark.createDataFrame([(1, "Кек и шлак.\nab 12")], "doc_id long, text string"), "doc_id", "text").first()
     assert (r["chars"], r["words"], r["lines"], r["line_end_punctuation"], r["distinct_words"]) == (17, 4, 2, 0.5, 4) and r["common_words"] == pytest.approx(0.25)
 
 
+def test_statistics_by_hand(spark):
+    twice = "The ore and the slag. The ore and the slag."
+    symbols = ["=/*;:~^|" * 49, "=/*;:~^|" * 52]  # a line is junk by its symbols at any length
+    texts = [twice, twice.lower(), *symbols, "a" * 40 + " " * 30 + "кек.", "Ключ {x}... да…\r\n(12) б)\r\n\tв"]
+    rows = [r.asDict() for r in prose.described(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), "i", "t").orderBy("i").collect()]
+    assert rows[0]["common_words"] == rows[1]["common_words"] == 0.6 and rows[0]["distinct_words"] == 4
+    assert rows[2]["junk_share"] == rows[3]["junk_share"] == 1.0 and rows[4]["line_end_punctuation"] == 1.0
+    assert rows[5]["lines"] == 3 and "c4_braces" in rows[5]["reasons"] and "gopher_words" in rows[5]["reasons"] and rows[5]["bullet_lines"] == pytest.approx(1 / 3)
+    # repeated lines and words against plain Python
+    rng = random.Random(8)
+    for _ in range(20):
+        lines = [" ".join(rng.choice(["Руда", "руда", "и", "шлак", "ore", "5,1"]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))]
+        got = dict(zip(prose.FIELDS, [c[0].as_py() for c in prose.described_batch(["\n".join(lines)])]))
+        words = [w for x in lines for w in x.lower().replace("5,1", " ").split()]
+        assert (got["words"], got["distinct_words"], got["lines"]) == (len(words), len(set(words)), len(lines))
+        repeated = len(lines) - len({x.lower() for x in lines})
+        assert ("gopher_repeated_lines" in got["reasons"]) == (repeated > 0.3 * len(lines))
+
+
 # scans
 
 
