@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orelode.llm.memo import Memo
 from orelode.session import stored
 from orelode.sources.tables import table
 
@@ -46,7 +46,7 @@ def slack(n: int, density: float = DENSITY) -> int:
     return int(n / density + 1e-9) - n
 
 
-@lru_cache(maxsize=4096)
+@Memo
 def least_runs(n: int, need: int, density: float = DENSITY, shortest: int = SHORTEST) -> int:
     """The least number of three words in a row that an item of n words shares with a document that holds ``need`` of them.
 

@@ -7,13 +7,13 @@ lines by the borders of their runs, words and lines that are equal by a rolling
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orelode.llm.memo import Memo
 from orelode.sources.tables import table
 
 # Function words of Russian and English, common in any prose.
@@ -35,7 +35,7 @@ BLOB = 30  # characters without a blank that are no word
 BATCH_CHARS = 300_000  # looked at together, so that the arrays stay in the cache
 BULLETS, MENU, CLOSERS, STOPS, ELLIPSIS = "-–—•*·▪●○◦", ">»›/", "\"»”)", ".!?…", "…"
 LETTER, DIGIT, BLANK, UPPER, LOWER, STOP, CLOSER = (1 << i for i in range(7))
-TABLE_SIZE = 0x20000
+TABLE_SIZE = 0x3000  # code points that are looked up in a table; those above are few different ones
 BASE = 0x9E3779B97F4A7C15 | 1
 
 FIELDS = {
@@ -45,24 +45,31 @@ FIELDS = {
 }
 
 
-@lru_cache(maxsize=1)
+def _class(ch: str) -> int:
+    return LETTER * ch.isalpha() | DIGIT * ("0" <= ch <= "9") | BLANK * ch.isspace() | UPPER * ch.isupper() | LOWER * ch.islower() | STOP * (ch in STOPS) | CLOSER * (ch in CLOSERS)
+
+
+@Memo
 def tables() -> tuple[np.ndarray, np.ndarray]:
-    """(classes, lower case) of the code points under TABLE_SIZE, those above being letters."""
-    kinds, lower = np.zeros(TABLE_SIZE + 1, np.uint8), np.arange(TABLE_SIZE + 1, dtype=np.uint32)
-    for i in range(TABLE_SIZE):
-        ch = chr(i)
-        kinds[i] = LETTER * ch.isalpha() | DIGIT * ("0" <= ch <= "9") | BLANK * ch.isspace() | UPPER * ch.isupper() | LOWER * ch.islower()
-        if ch.isupper() and len(ch.lower()) == 1:
-            lower[i] = ord(ch.lower())
-    kinds[TABLE_SIZE] = LETTER
-    for ch in STOPS:
-        kinds[ord(ch)] |= STOP
-    for ch in CLOSERS:
-        kinds[ord(ch)] |= CLOSER
-    return kinds, lower
-
-
-@lru_cache(maxsize=2)
+    """(classes, lower case) of the code points under TABLE_SIZE."""
+    chars = [chr(i) for i in range(TABLE_SIZE)]
+    return np.array([_class(ch) for ch in chars], np.uint8), np.array([ord(low) if len(low := ch.lower()) == 1 else ord(ch) for ch in chars], np.uint32)
+
+
+def classified(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, lower case) of an array of code points."""
+    classes, lower = tables()
+    at = np.minimum(codes, TABLE_SIZE - 1)
+    kinds, low = classes[at], lower[at]
+    above = np.flatnonzero(codes >= TABLE_SIZE)
+    if len(above):
+        each, which = np.unique(codes[above], return_inverse=True)
+        kinds[above] = np.array([_class(chr(c)) for c in each], np.uint8)[which]
+        low[above] = codes[above]
+    return kinds, low
+
+
+@Memo
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2 ** 64, the first n."""
     with np.errstate(over="ignore"):
@@ -94,7 +101,7 @@ def _is(codes: np.ndarray, chars: str) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
+@Memo
 def common_hashes() -> np.ndarray:
     up, _ = powers(64)
     with np.errstate(over="ignore"):
@@ -105,18 +112,17 @@ class Batch:
     """The texts of a batch as one array of code points, each text followed by a line end."""
 
     def __init__(self, texts: list[str]):
-        classes, lower = tables()
         self.lengths = np.array([len(t) for t in texts], np.int64)
         joined = "\n".join(texts) + "\n" * 8
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.minimum(codes, TABLE_SIZE)
-        self.codes, self.kinds = codes, classes[at]
+        self.codes = codes
+        self.kinds, low = classified(codes)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])[:-1]
         self.ends = self.starts + self.lengths
         self.is_end = (codes == 10) | (codes == 13)
         up, self.down = powers(1 << int(np.ceil(np.log2(len(codes) + 1))))
         with np.errstate(over="ignore"):
-            self.hash_total = np.concatenate([[np.uint64(0)], np.cumsum((lower[at].astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
+            self.hash_total = np.concatenate([[np.uint64(0)], np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
 
     def has(self, kind: int) -> np.ndarray:
         return (self.kinds & kind) > 0
