@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from orelode.functions.nulls import is_null_like
 from orelode.llm.encoding import pair_model, repaired
+from orelode.session import stored
 from orelode.sources.tables import table
 
 # Latin letters that look like Cyrillic ones.
@@ -180,33 +181,43 @@ class Reference:
         return best if best[1] >= least else (0, best[1])
 
 
-def token_repairs(values: DataFrame, vocabulary: list[tuple[str, str]]) -> DataFrame:
-    """(token, options array<struct<word, similarity>>): the stems of the vocabulary within the allowed distance of each token.
-
-    values has one column, value; vocabulary has each stem with its spellings, the stem itself among them. The q-grams of
-    the distinct tokens and of their stems are joined with those of the vocabulary, and a spelling is tried only where
-    they share one. Abbreviated tokens get the words that begin with them.
-    """
-    spark = values.sparkSession
+def value_words(values: DataFrame) -> DataFrame:
+    """(value, token): the tokens of every value, also those of two neighbours written as one; token NULL where it has none."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[str] = set()
+            rows = []
             for v in batch.column(0).to_pylist():
                 w = value_tokens(v)
-                found.update(w)
-                found.update(w[k] + w[k + 1] for k in range(len(w) - 1))
+                rows += [(v, t) for t in sorted({*w, *(w[k] + w[k + 1] for k in range(len(w) - 1))})] or [(v, None)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], names=["value", "token"])
+
+    return values.mapInArrow(split, "value string, token string")
+
+
+def token_repairs(tokens: DataFrame, vocabulary: list[tuple[str, str]], stems: list[str]) -> DataFrame:
+    """(token, words array<int>, similarities array<double>): the stems of the vocabulary within the allowed distance of each token.
+
+    tokens has one column, token, distinct; vocabulary has each stem with its spellings, the stem itself among them; words
+    are places in ``stems``. The q-grams of the tokens and of their stems are joined with those of the vocabulary, and a
+    spelling is tried only where they share one. Abbreviated tokens get the words that begin with them.
+    """
+    spark = tokens.sparkSession
+
+    def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for t in sorted(found):
+            for t in batch.column(0).to_pylist():
                 forms = {t} if t.endswith(".") else {t, stem(t)}
                 rows += [(t, f, g) for f in sorted(forms) for g in (["." + t[:2]] if t.endswith(".") else grams(f))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["token", "form", "gram"])
 
-    index = [(s, w, g) for s, w in vocabulary for g in [*grams(w), "." + w[:2]]]
-    index = spark.createDataFrame(index, "stem string, word string, gram string")  # the reference list's own words
-    tokens = values.mapInArrow(split, "token string, form string, gram string").distinct()
+    place = {s: i for i, s in enumerate(stems)}
+    index = [(place[s], w, g) for s, w in vocabulary for g in [*grams(w), "." + w[:2]]]
+    index = spark.createDataFrame(index, "stem int, word string, gram string")  # the reference list's own words
     short = F.col("token").endswith(".")
-    pairs = tokens.join(index, "gram").where(short | (F.abs(F.length("form") - F.length("word")) <= 3)).select("token", "form", "stem", "word").distinct()
+    pairs = tokens.mapInArrow(gram_rows, "token string, form string, gram string").join(index, "gram")
+    pairs = pairs.where(short | (F.abs(F.length("form") - F.length("word")) <= 3)).select("token", "form", "stem", "word").distinct()
     pairs = pairs.where(F.when(short, F.col("word").startswith(F.rtrim(F.col("token"), F.lit(".")))).otherwise(F.levenshtein("form", "word", 6) >= 0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +231,11 @@ def token_repairs(values: DataFrame, vocabulary: list[tuple[str, str]]) -> DataF
                 d = distance(f, w, limit)
                 if d <= limit:
                     kept.append((t, s, 1 - d / max(len(f), len(w))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], k) for i, k in enumerate((pa.string(), pa.string(), pa.float64()))], names=["token", "word", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], k) for i, k in enumerate((pa.string(), pa.int32(), pa.float64()))], names=["token", "word", "similarity"])
 
-    measured = pairs.mapInArrow(measure, "token string, word string, similarity double").groupBy("token", "word").agg(F.max("similarity").alias("similarity"))
-    return measured.groupBy("token").agg(F.collect_list(F.struct("word", "similarity")).alias("options"))  # at most the vocabulary
+    measured = pairs.mapInArrow(measure, "token string, word int, similarity double").groupBy("token", "word").agg(F.max("similarity").alias("similarity"))
+    found = measured.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("word", "similarity"))).alias("o"))  # at most the vocabulary
+    return found.select("token", F.col("o.word").alias("words"), F.col("o.similarity").alias("similarities"))
 
 
 def mapped(values: DataFrame, entries: DataFrame, least: float = 0.72) -> DataFrame:
@@ -234,28 +246,23 @@ def mapped(values: DataFrame, entries: DataFrame, least: float = 0.72) -> DataFr
     """
     listed = [(r["canonical_id"], r["canonical"], r["aliases"]) for r in entries.select("canonical_id", "canonical", "aliases").orderBy("canonical_id").collect()]
     reference = Reference(listed)
-    values = values.where("value is not null").distinct()
-    options = token_repairs(values, sorted(reference.words))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for v in batch.column(0).to_pylist():
-                w = value_tokens(v)
-                rows += [(v, t) for t in {"", *w, *(w[k] + w[k + 1] for k in range(len(w) - 1))}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["value", "token"])
-
-    repaired_values = values.mapInArrow(split, "value string, token string").join(options, "token", "left").groupBy("value").agg(F.collect_list(F.struct("token", "options")).alias("tokens"))
+    stems = sorted({s for s, _ in reference.words})
+    split = stored(value_words(values.where("value is not null").distinct()), "words")
+    options = token_repairs(split.select("token").where("token is not null").distinct(), sorted(reference.words), stems)
+    # values without a word have no token to join by, and would all be one key
+    joined = split.where("token is not null").join(options, "token", "left").groupBy("value").agg(F.collect_list(F.struct("token", "words", "similarities")).alias("tokens"))
+    none = F.array().cast("array<struct<token:string,words:array<int>,similarities:array<double>>>")
+    bare = split.where("token is null").select("value", none.alias("tokens"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                repairs = {t["token"]: [(o["word"], o["similarity"]) for o in t["options"]] for t in row["tokens"] if t["options"]}
-                out.append((row["value"], *reference.best(row["value"], repairs, least)))
+            for value, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                repairs = {t["token"]: [(stems[i], s) for i, s in zip(t["words"], t["similarities"])] for t in tokens if t["words"]}
+                out.append((value, *reference.best(value, repairs, least)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.int64(), pa.float64()))], names=["value", "canonical_id", "score"])
 
-    return repaired_values.mapInArrow(rank, "value string, canonical_id long, score double")
+    return joined.unionByName(bare).mapInArrow(rank, "value string, canonical_id long, score double")
 
 
 def mapped_facts(facts: DataFrame, entries: DataFrame) -> DataFrame:

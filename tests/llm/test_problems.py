@@ -191,6 +191,18 @@ def test_typed_names_leave_out_what_is_no_single_name(spark):
     assert [(r["name"], r["n"]) for r in names.typed_names(df, "x").collect()] == [("a", 2)]
 
 
+def test_functions_travel_without_the_package(tmp_path):
+    """What the executors run must not need a copy of the repository there."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    for f in (prose.described_batch, leakage.passage, names.readings, encoding.Repairer, scans.repair, reference_list.value_tokens, chunks.cuts):
+        run = subprocess.run([sys.executable, "-c", "import pickle, sys; pickle.load(sys.stdin.buffer)"], input=cloudpickle.dumps(f), cwd=tmp_path, capture_output=True, env={"PATH": "/usr/bin"})
+        assert run.returncode == 0, (f, run.stderr.decode()[-300:])
+
+
 # packing
 
 
