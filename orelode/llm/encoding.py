@@ -31,7 +31,11 @@ PLAIN = re.compile(r"^[\s\x21-\x7eа-яёА-ЯЁ«»“”„…–—‑№°·
 LATIN_RUN = re.compile(r"[À-ÿ]{3}|[\x80-\x9f]|Ã|Â|Ð|Ñ")
 ESCAPE = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}%[0-9A-F]{2}")
 FLOOR = math.log(1e-7)
-USUAL = 7.0  # mean cost of a pair under which a token of plain characters needs no search
+# Bounds of the search, all of them parameters of Repairer: the states that are expanded for a token (None for all within the
+# other two), the steps that a text may have been through, what a state may cost more than the token itself, and the mean cost
+# of a pair under which a token of plain characters that no step makes cheaper isn't searched (0: every token is).
+EXPANDED, STEPS, DETOUR, USUAL = 60, 4, 12.0, 7.0
+PROOF_LETTERS = 5  # letters that prove an exchange of two encodings of the same letters; shorter acronyms are rare pairs anyway
 # Encodings of the same letters; a text read with the wrong one of them may still be of plain characters.
 CYRILLIC = ("cp1251", "koi8-r", "cp866")
 ROUNDS = 2  # times that the model is counted anew without the values that it finds garbled
@@ -145,8 +149,9 @@ def steps(text: str) -> Iterator[tuple[str, str]]:
 class Repairer:
     """Searches tokens and values; ``model`` is the result of pair_model."""
 
-    def __init__(self, model: dict[str, float], limit: int = 60, step_cost: float = 1.0, gain: float = 1.2):
-        self.model, self.limit, self.step_cost, self.gain = model, limit, step_cost, gain
+    def __init__(self, model: dict[str, float], step_cost: float = 1.0, gain: float = 1.2, expanded: int | None = EXPANDED, steps: int = STEPS, detour: float = DETOUR, usual: float = USUAL):
+        self.model, self.step_cost, self.gain = model, step_cost, gain
+        self.expanded, self.steps, self.detour, self.usual = expanded, steps, detour, usual
         self.alphabet = {ch for pair in model for ch in pair}
         self.token = lru_cache(maxsize=200_000)(self._token)
         self.gains = lru_cache(maxsize=200_000)(self._gains)
@@ -186,22 +191,25 @@ class Repairer:
         return max(map(sum, zip(*(self.gains(t) for t in tokens)))) >= self.gain * 3 + 1
 
     def _token(self, token: str) -> tuple[str, str, float]:
-        """(cheapest text, the steps to it, the gain) of a token; no steps if nothing is cheaper."""
+        """(cheapest text, the steps to it, the gain) of a token; no steps if nothing is cheaper.
+
+        A state is left as soon as the steps to what follows cost more than the cheapest text found.
+        """
         plain = token.isascii()
         if plain and not ESCAPE.search(token):
             return token, "", 0.0
         start = self.cost(token)
-        if start * 4 < USUAL * (len(token) + 1) and PLAIN.match(token) and not ESCAPE.search(token) and max(self.gains(token)) <= 0:
+        if start * 4 < self.usual * (len(token) + 1) and PLAIN.match(token) and not ESCAPE.search(token) and max(self.gains(token)) <= 0:
             return token, "", 0.0
         best = (start, token, "")
         seen = {hash(token)}
         heap = [(start, 0, token, "")]
         expanded = 0
-        while heap and expanded < self.limit:
+        while heap and (self.expanded is None or expanded < self.expanded):
             cost, depth, text, path = heapq.heappop(heap)
             if cost < best[0]:
                 best = (cost, text, path)
-            if depth >= 4 or cost > start + 12:
+            if depth >= self.steps or cost > start + self.detour or self.step_cost * (depth + 1) >= best[0]:
                 continue
             expanded += 1
             for name, new in steps(text):
@@ -216,9 +224,16 @@ class Repairer:
             return value, False, True
         tokens = value.split(" ")
         found = [self.token(t) for t in tokens]
-        # between two encodings of the same letters only longer words are proof, as acronyms are rare pairs too
-        enough = lambda t, x: sum(map(str.isalpha, t)) >= 5 or not PLAIN.match(t)
-        strong = {p for t, (x, p, g) in zip(tokens, found) if p and g >= self.gain * min(max(len(x), 3), 6) / 2 + 1 and enough(t, x)}
+        # between two encodings of the same letters only enough of them are proof, in one word or in several
+        enough = lambda t: sum(map(str.isalpha, t)) >= PROOF_LETTERS or not PLAIN.match(t)
+        strong = {p for t, (x, p, g) in zip(tokens, found) if p and g >= self.gain * min(max(len(x), 3), 6) / 2 + 1 and enough(t)}
+        together: dict[str, list[tuple[str, float]]] = {}
+        for t, (_, p, g) in zip(tokens, found):
+            if p and g > 0 and p not in strong and not enough(t):
+                together.setdefault(p, []).append((t, g))
+        for p, parts in together.items():
+            if sum(sum(map(str.isalpha, t)) for t, _ in parts) >= 2 * PROOF_LETTERS and sum(g for _, g in parts) >= self.gain * 3 + 1:
+                strong.add(p)
         lost = LOST in value
         if not strong:
             return value, lost, not lost
@@ -248,11 +263,11 @@ class Repairer:
         return token
 
 
-def repaired(df: DataFrame, columns: list[str], model: dict[str, float] | None = None, keep: list[str] | None = None) -> DataFrame:
+def repaired(df: DataFrame, columns: list[str], model: dict[str, float] | None = None, keep: list[str] | None = None, **bounds: float | None) -> DataFrame:
     """Columns ``keep`` of df (all by default) and, for each column c of ``columns``, c__text, c__garbled, c__restored.
 
     NULL values give NULL, false, true; empty ones stay; texts of any length are searched token by token. A value that
-    holds replacement characters is garbled and not restored, as their bytes are gone.
+    holds replacement characters is garbled and not restored, as their bytes are gone. ``bounds`` are those of Repairer.
     """
     model = pair_model(df, columns) if model is None else model
     keep = df.columns if keep is None else keep
@@ -262,7 +277,7 @@ def repaired(df: DataFrame, columns: list[str], model: dict[str, float] | None =
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer(model)
+        repairer = Repairer(model, **bounds)
         memo: dict[str, tuple] = {}
         for batch in batches:
             arrays, names = list(batch.columns[: len(keep)]), list(batch.schema.names[: len(keep)])

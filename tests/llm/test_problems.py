@@ -79,6 +79,24 @@ def test_twice_wrong_and_lost(repairer):
         assert repairer.value(clean) == (clean, False, True)
 
 
+def test_bounds_of_the_search_lose_nothing_here(repairer):
+    """Without bounds on states, detours and usual tokens the same texts are found."""
+    free = encoding.Repairer(repairer.model, expanded=None, detour=float("inf"), usual=0.0)
+    parts = ["Степень очистки", "раствора достигла", "прочность брикетов - 5 МПа", "извлечение железа", "проба 12"]
+    for real, wrong in (("utf-8", "cp1251"), ("utf-8", "cp866"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r")):
+        for text in parts:
+            garbled = text.encode(real).decode(wrong, "replace")
+            assert repairer.value(garbled) == free.value(garbled)
+    for text in parts:
+        assert repairer.value(text) == free.value(text) == (text, False, True)
+
+
+def test_several_short_words_prove_an_exchange_together(repairer):
+    text = "шлак кек пыль руда"
+    garbled = text.encode("koi8-r").decode("cp1251")
+    assert repairer.value(garbled)[1] and not repairer.value("МПа")[1] and not repairer.value("МПа"[:2])[1]
+
+
 def test_encoding_edge_cases(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, LONG, "x"), (3, LONG, "x")], "id long, t string, t__text2 string")
     rows = encoding.repaired(df, ["t"]).collect()
