@@ -48,11 +48,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: cuts lineage, survives the loss of executors."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df into the shared folder and read it back: cuts lineage, survives the loss of executors.
+
+    by: a column of few values, of which a reader with a filter on it reads only its own.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
