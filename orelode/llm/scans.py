@@ -21,8 +21,15 @@ from orelode.llm.boosting import Boosted
 from orelode.session import stored
 from orelode.sources.tables import table
 
-SAMPLE_TEXTS = 300  # texts that the classifier of lines is fitted on, at most
-SAMPLE_WORDS = 1500  # words that the ranking and the classifier of divided words are fitted on, at most
+# Bounds of what the models are fitted on: whole texts for the classifier of lines, words for the ranking of replacements and
+# for the classifier of divided words.
+SAMPLE_TEXTS, SAMPLE_WORDS = 300, 1500
+# A word is known from WORD_COUNT occurrences on, and a token is misread for a word that is COMMONER times as frequent at least.
+WORD_COUNT, COMMONER = 3, 4
+# A line alone is a heading rather than prose up to so many characters and words; longer ones are furniture only if repeated.
+LINE_CHARS, LINE_WORDS, NUMBER_CHARS = 80, 8, 40
+# Score from which a replacement counts, and from which it does in texts without tokens of mixed signs, which aren't scanned.
+LEAST_SCORE, CLEAN_SCORE = 0.5, 0.9
 # Letters and what scanning makes of them, for damaging clean words.
 CONFUSED_CYRILLIC = {"о": "0", "з": "3", "б": "6", "ч": "4", "н": "ii", "ш": "iii", "п": "n", "т": "m", "г": "r", "и": "u", "у": "y", "с": "c", "ы": "ьi", "й": "и"}
 CONFUSED_LATIN = {"o": "0", "l": "1", "i": "1", "s": "5", "m": "rn", "e": "c", "b": "6", "g": "9"}
@@ -36,11 +43,12 @@ CYRILLIC_TABLE, LATIN_TABLE = str.maketrans(*FOLD_CYRILLIC_SIGNS), str.maketrans
 LINES = re.compile(r"\r\n|\n|\r")
 TOKEN = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
-PAGE = re.compile(r"[\W_]*(?:page|стр|с|p|лист)?[\W_]*(\d{1,4})[\W_]*", re.I)
+PAGE = re.compile(r"[\W_]*(?:page|стр|с|p|лист)?[\W_]*(\d{1,5})[\W_]*", re.I)
 END = re.compile(r"[.!?:;»\"]\s*$")
-DIVIDED = re.compile(r"([^\W_]+)[-¬­‐]\s*$")
-TAIL = re.compile(r"^(.*?[^\W\d_].*?)(\s+)(\d{1,4})$")
-LAST_NUMBER = re.compile(r"\s+\d{1,4}$")
+LAST_WORD = re.compile(r"[^\W_]+$")
+FIRST_WORD = re.compile(r"[^\W_]+")
+TAIL = re.compile(r"^(.*?[^\W\d_].*?)(\s+)(\d{1,5})$")
+LAST_NUMBER = re.compile(r"\s+\d{1,5}$")
 LETTER = re.compile(r"[^\W\d_]")
 CYRILLIC = re.compile("[а-яё]")
 SIGNS = "-¬\xad‐"
@@ -70,16 +78,18 @@ def candidate_lines(lines: list[str]) -> list[tuple[int, str, list[float], int]]
     """(line, key, features, number) of the lines that may be furniture; key is empty for a number alone, number -1 for none."""
     n = len(lines)
     plain = [x.strip(" \t\x0c\xa0") for x in lines]
-    numbers = {i: int(m[1]) for i, x in enumerate(plain) if 0 < len(x) <= 16 and x[-1:] != "." and (m := PAGE.fullmatch(x))}
-    again = Counter(x for x in plain if len(x) <= 60)
+    numbers = {i: int(m[1]) for i, x in enumerate(plain) if 0 < len(x) <= NUMBER_CHARS and x[-1:] != "." and x[-1].isascii() and (m := PAGE.fullmatch(x))}
+    again = Counter(plain)
+    headed_again = Counter(LAST_NUMBER.sub("", x) if x[-1:].isdigit() else x for x in plain if len(x) > 3)
     found: list[tuple[int, str, int, bool]] = []
     for i, x in enumerate(plain):
         if i in numbers:
             found.append((i, "", numbers[i], False))
-        elif x and len(x) <= 80 and (x[0].isupper() or x[0].isdigit()) and not ("\t" in x or "|" in x or ";" in x) and (x[-1] not in '.!?:;»"' or again[x] > 1) and x[-1] not in "-¬­,%" and x.count(" ") <= 14:
+        elif x and (x[0].isupper() or x[0].isdigit()) and not ("\t" in x or "|" in x or ";" in x) and (x[-1] not in '.!?:;»"' or again[x] > 1) and x[-1] not in "-¬­,%":
             m = TAIL.match(x) if x[-1].isdigit() else None
             text = LAST_NUMBER.sub("", m[1]) if m else x
-            if len(text) >= 4 and text.count(" ") <= 20 and len(text.split()) <= 8 and len(LETTER.findall(text)) * 2 >= len(text):
+            short = len(x) <= LINE_CHARS and len(text.split()) <= LINE_WORDS or headed_again[LAST_NUMBER.sub("", x) if m else x] > 1
+            if len(text) >= 4 and short and len(LETTER.findall(text)) * 2 >= len(text):
                 found.append((i, line_key(text), int(m[3]) if m else -1, bool(m) and len(m[2]) >= 2))
     same = Counter(k for _, k, _, _ in found if k)
     width = float(np.median([len(x) for x in plain if len(x) > 25] or [60]))
@@ -121,19 +131,27 @@ def candidate_lines(lines: list[str]) -> list[tuple[int, str, list[float], int]]
 
 
 def divided_words(lines: list[str]) -> list[tuple[int, int, str, str, str]]:
-    """(line, next line, left part, right part, sign) of the words that a line end may divide; furniture may stand between."""
+    """(line, next line, left part, right part, sign) of the words that a line end may divide.
+
+    The next line is the first after it that begins with a small letter; only page numbers, blank and short capital lines, as
+    furniture has them, may stand between.
+    """
     out = []
+    goes_on: list[tuple[int, str] | None] = [None] * (len(lines) + 1)  # for each line, where the text goes on from it
+    for i in range(len(lines) - 1, -1, -1):
+        y = lines[i].strip(" \t\x0c\xa0")
+        right = FIRST_WORD.match(y)
+        if right and right[0][0].islower() and not (len(y) <= NUMBER_CHARS and PAGE.fullmatch(y)):
+            goes_on[i] = (i, right[0])
+        elif len(y) <= LINE_CHARS:
+            goes_on[i] = goes_on[i + 1]
     for i, x in enumerate(lines):
-        if x and (last := x.rstrip()[-1:]) and last in SIGNS and (m := DIVIDED.search(x[-60:])) and len(m[1]) >= 2 and not m[1].isdigit():
-            for j in range(i + 1, min(len(lines), i + 7)):
-                y = lines[j].strip(" \t\x0c\xa0")
-                if len(y) <= 16 and PAGE.fullmatch(y):
-                    continue
-                if y and (right := re.match(r"[^\W_]+", y)) and right[0][0].islower():
-                    out.append((i, j, m[1], right[0], last))
-                    break
-                if y and len(y) > 80:
-                    break
+        x = x.rstrip()
+        if x and x[-1] in SIGNS and goes_on[i + 1]:
+            last = x[x.rfind(" ") + 1 : -1]
+            if (m := LAST_WORD.search(last)) and len(m[0]) >= 2 and not m[0].isdigit():
+                j, right = goes_on[i + 1]
+                out.append((i, j, m[0], right, x[-1]))
     return out
 
 
@@ -167,8 +185,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append(("divided", i, line, other, left.lower(), right.lower(), 1, float(sign != "-"), None))
                 mixed = [t for t in tokens if len(t) >= 3 and is_mixed(t) and sum(map(str.isalpha, t)) >= 2]
                 rows += [("token", i, None, None, t, None, tokens[t], 1, None) for t in mixed]
-                if mixed:
-                    rows += [("token", i, None, None, t, None, c, 0, None) for t, c in tokens.items() if len(t) >= 4 and t.isalpha() and not is_mixed(t)]
+                # value: 1 for a mixed token, 0 for one of letters alone in a text that has mixed ones, -1 in one that has none
+                rows += [("token", i, None, None, t, None, c, 0 if mixed else -1, None) for t, c in tokens.items() if len(t) >= 4 and t.isalpha() and not is_mixed(t)]
             rows += [("count", None, None, None, t, None, c, None, None) for t, c in counts.items()]
             if rows:
                 yield _batch(rows)
@@ -212,16 +230,21 @@ def _pair_features(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("x", F.array(*[v.cast("double") for v in values]))
 
 
-def replacements(counts: DataFrame, least: float = 0.5) -> DataFrame:
+def slips(shape: str) -> int:
+    """Letters by which the shape of a misread token may differ from that of its word; each spoils three q-grams."""
+    return 1 if len(shape) < 7 else 2
+
+
+def replacements(counts: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """(token, word, score): the word of the corpus that each misread token stands for.
 
     counts has key and n, tokens in lower case over the whole corpus. Words are tokens of one script, without digits, that
-    occur three times or more. A token is paired with the words that share one of its rarest q-grams of shape; pairs are
-    ranked by boosted trees, fitted on at most SAMPLE_WORDS words damaged on purpose, and on words left as they are.
+    occur WORD_COUNT times or more. A token is paired with the words that share one of its rarest q-grams of shape, one more
+    than its slips can spoil, so that none is missed; pairs are ranked by boosted trees, fitted on at most SAMPLE_WORDS words damaged on purpose, and on words left as they are.
     """
     spark = counts.sparkSession
     pure = F.col("key").rlike("^([а-яё]+|[a-z]+)$")
-    words = stored(_shapes(counts.where(pure & (F.col("n") >= 3) & (F.length("key") >= 3)).select(F.col("key").alias("word"), F.col("n").alias("word_n"))), "words")
+    words = stored(_shapes(counts.where(pure & (F.col("n") >= WORD_COUNT) & (F.length("key") >= 3)).select(F.col("key").alias("word"), F.col("n").alias("word_n"))), "words")
     gram_df = {r["g"]: r["c"] for r in words.select(F.explode(_grams(F.col("shape"))).alias("g")).groupBy("g").agg(F.count("*").alias("c")).collect()}  # bounded by the alphabet
     rng = np.random.default_rng(7)
     sample = [r for r in words.where("word_n >= 10 and length(word) >= 4").orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).collect()]
@@ -242,7 +265,8 @@ def replacements(counts: DataFrame, least: float = 0.5) -> DataFrame:
             index, grams_ = [], []
             for k, s in enumerate(batch.column(3).to_pylist()):
                 t = f"^{s}$"
-                own = sorted({t[i : i + 3] for i in range(max(len(t) - 2, 1))} & gram_df.keys(), key=lambda g: (gram_df[g], g))[:4]
+                own = sorted({t[i : i + 3] for i in range(max(len(t) - 2, 1))}, key=lambda g: (gram_df.get(g, 0), g))[: 3 * slips(s) + 1]
+                own = [g for g in own if g in gram_df]
                 index += [k] * len(own)
                 grams_ += own
             taken = batch.take(pa.array(index, pa.int64()))
@@ -254,7 +278,7 @@ def replacements(counts: DataFrame, least: float = 0.5) -> DataFrame:
     near = F.levenshtein("shape", "word_shape", 2)
     pairs = pairs.where((near >= 0) & (near <= F.when(F.length("shape") < 7, 1).otherwise(2))).drop("gram").dropDuplicates(["token", "truth", "word"])
     # a token is misread only for a clearly commoner word
-    pairs = stored(_pair_features(pairs.where("word_n >= 4 * n")), "pairs")
+    pairs = stored(_pair_features(pairs.where(f"word_n >= {COMMONER} * n")), "pairs")
     known = pairs.where("truth is not null").select("x", (F.col("truth") == F.col("word")).alias("y")).collect()
     model = Boosted().fit(np.array([r["x"] for r in known]).reshape(-1, len(RANKING)), np.array([r["y"] for r in known], float))
 
@@ -271,39 +295,51 @@ def replacements(counts: DataFrame, least: float = 0.5) -> DataFrame:
 HYPHEN = ("n_joined", "n_compound", "n_left", "n_right", "sign", "n_chars")
 
 
+def _cut_words(counts: DataFrame) -> list[tuple[str, str, int, float, bool]]:
+    """(left, right, sign, truth, unseen) of words and compounds of the corpus, cut on purpose as a line end cuts them.
+
+    A word is cut anywhere, a compound at its hyphen, which it keeps. unseen: the word is taken for one that the corpus
+    holds nowhere else, as names are.
+    """
+    words = counts.where("n >= 5").orderBy(F.xxhash64("key"), "key")
+    whole = [r["key"] for r in words.where(F.col("key").rlike("^[а-яёa-z]{6,}$")).limit(SAMPLE_WORDS).collect()]
+    hyphened = [r["key"] for r in words.where(F.col("key").rlike("^[а-яёa-z]{2,}-[а-яёa-z]{2,}$")).limit(SAMPLE_WORDS).collect()]
+    rng = np.random.default_rng(11)
+    rows = []
+    for w in whole:
+        for unseen in (False, True):
+            at = int(rng.integers(2, len(w) - 1))
+            rows.append((w[:at], w[at:], int(rng.random() < 0.3), 1.0, unseen))
+    return rows + [(*w.split("-", 1), 0, 0.0, False) for w in hyphened]
+
+
 def joins(divided: DataFrame, counts: DataFrame) -> DataFrame:
-    """The rows of divided whose two parts are one word that the line end divides, not a compound that keeps its hyphen."""
+    """The rows of divided whose two parts are one word that the line end divides, not a compound that keeps its hyphen.
+
+    The classifier is fitted on words of the corpus that are cut on purpose; their features come through the same joins.
+    """
     lookup = lambda name: counts.select(F.col("key").alias(f"_{name}"), F.col("n").alias(f"n_{name}"))
-    rows = divided.select("id", "line", "other", F.col("key").alias("left"), F.col("aux").alias("right"), F.col("value").alias("sign"))
+    none = F.lit(None)
+    rows = divided.select("id", "line", "other", F.col("key").alias("left"), F.col("aux").alias("right"), F.col("value").alias("sign"), none.cast("double").alias("truth"), F.lit(False).alias("unseen"))
+    cut = divided.sparkSession.createDataFrame(_cut_words(counts), "left string, right string, sign long, truth double, unseen boolean")
+    cut = cut.select(none.cast("long").alias("id"), none.cast("int").alias("line"), none.cast("int").alias("other"), "left", "right", "sign", "truth", "unseen")
+    rows = rows.unionByName(cut)
     rows = rows.withColumn("_joined", F.concat("left", "right")).withColumn("_compound", F.concat_ws("-", "left", "right")).withColumn("_left", F.col("left")).withColumn("_right", F.col("right"))
     for name in ("joined", "compound", "left", "right"):
         rows = rows.join(lookup(name), f"_{name}", "left")
     log = lambda name: F.log1p(F.coalesce(f"n_{name}", F.lit(0)).cast("double"))
-    x = F.array(log("joined"), log("compound"), log("left"), log("right"), F.col("sign").cast("double"), (F.length("left") + F.length("right")).cast("double"))
-    rows = rows.select("id", "line", "other", "left", "right", x.alias("x"))
-    words = counts.where("n >= 5").orderBy(F.xxhash64("key"), "key")
-    whole = words.where(F.col("key").rlike("^[а-яёa-z]{6,}$")).limit(SAMPLE_WORDS).collect()
-    hyphened = words.where(F.col("key").rlike("^[а-яёa-z]{2,}-[а-яёa-z]{2,}$")).limit(SAMPLE_WORDS).collect()
-    rng = np.random.default_rng(11)
-    samples, y = [], []
-    for r in whole:
-        for joined in (np.log1p(r["n"]), 0.0):  # also words that the corpus doesn't hold, as names
-            rest = [0.0, float(rng.random() < 0.05) * 3, float(rng.random() < 0.1) * 3]
-            samples.append([joined, *rest, float(rng.random() < 0.3), len(r["key"])])
-            y.append(1.0)
-    for r in hyphened:
-        a = np.log1p(r["n"])
-        for left in (a, a * rng.random()):
-            samples.append([0.0, a, left, np.log1p(r["n"] * (1 + 9 * rng.random())), 0.0, len(r["key"]) - 1])
-            y.append(0.0)
-    model = Boosted(trees=30).fit(np.array(samples).reshape(-1, len(HYPHEN)), np.array(y))
+    joined = F.when(F.col("unseen"), 0.0).otherwise(log("joined"))
+    x = F.array(joined, log("compound"), log("left"), log("right"), F.col("sign").cast("double"), (F.length("left") + F.length("right")).cast("double"))
+    rows = stored(rows.select("id", "line", "other", "left", "right", "truth", x.alias("x")), "divided")
+    known = rows.where("truth is not null").select("x", "truth").collect()  # what _cut_words made
+    model = Boosted(trees=30).fit(np.array([r["x"] for r in known]).reshape(-1, len(HYPHEN)), np.array([r["truth"] for r in known], float))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = model.predict(np.array(batch.column(5).to_pylist(), float).reshape(-1, len(HYPHEN))) if model.forest else np.ones(batch.num_rows)
             yield batch.filter(pa.array(p >= 0.5)).select([0, 1, 2, 3, 4])
 
-    return rows.mapInArrow(keep, "id long, line int, other int, left string, right string")
+    return rows.where("truth is null").select("id", "line", "other", "left", "right", "x").mapInArrow(keep, "id long, line int, other int, left string, right string")
 
 
 def _paged(lines: list[str], header: str, rng: np.random.Generator) -> tuple[list[str], set[int]]:
@@ -354,7 +390,7 @@ def furniture(lines: DataFrame, texts: DataFrame) -> DataFrame:
     sample = texts.where(F.col("id").isin(chosen)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_TEXTS).collect() if chosen else []
     x, y, held = [], [], []
     for r in sample:
-        plain = LINES.split(r["text"])[:400]
+        plain = LINES.split(r["text"])
         if np.mean([len(p) for p in plain if p] or [0]) > 120:
             plain = [w for p in plain for w in ([p[i : i + 64] for i in range(0, len(p), 64)] or [""])]
         words = re.findall(r"[^\W\d_]{5,}", r["text"])
@@ -405,7 +441,7 @@ def noise(texts: DataFrame) -> DataFrame:
     kind is hyphen (line and the line that goes on, its two parts), header and pageno (the line to leave out), or ocr (a
     token in lower case and the word that it stands for, line NULL). NULL and empty texts have none.
     """
-    survey = stored(texts.select("id", "text").mapInArrow(_survey, MARKS), "survey")
+    survey = stored(texts.select("id", "text").mapInArrow(_survey, MARKS), "survey", "kind")
     counts = stored(survey.where("kind = 'count'").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     none = F.lit(None)
     hyphens = joins(survey.where("kind = 'divided'"), counts).select("id", F.lit("hyphen").alias("kind"), "line", "other", F.col("left").alias("before"), F.col("right").alias("after"))
@@ -414,8 +450,9 @@ def noise(texts: DataFrame) -> DataFrame:
         F.when(F.col("key") != "", F.lit("header")), F.when((F.col("key") == "") | (F.col("value") >= 0) & (F.col("wide") | F.col("varied")), F.lit("pageno"))
     ))
     pages = lines.select("id", F.explode(found).alias("kind"), "line", none.cast("int").alias("other"), F.col("key").alias("before"), none.cast("string").alias("after"))
-    tokens = survey.where("kind = 'token'").select("id", F.col("key").alias("token"))
-    words = tokens.join(replacements(counts), "token").select("id", F.lit("ocr").alias("kind"), none.cast("int").alias("line"), none.cast("int").alias("other"), F.col("token").alias("before"), F.col("word").alias("after"))
+    tokens = survey.where("kind = 'token'").select("id", F.col("key").alias("token"), "value")
+    words = tokens.join(replacements(counts), "token").where((F.col("value") >= 0) | (F.col("score") >= CLEAN_SCORE))
+    words = words.select("id", F.lit("ocr").alias("kind"), none.cast("int").alias("line"), none.cast("int").alias("other"), F.col("token").alias("before"), F.col("word").alias("after"))
     return hyphens.unionByName(pages).unionByName(words)
 
 
