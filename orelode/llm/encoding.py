@@ -59,10 +59,9 @@ def _pairs(values: DataFrame, model: dict[str, float] | None) -> dict[str, float
         for batch in batches:
             tokens: Counter = Counter()
             for value in batch.column(0).to_pylist():
-                if _countable(value):
-                    parts = value.split()
-                    if not (repairer and repairer.exchanged(parts)):
-                        tokens.update(parts)
+                parts = value.split()
+                if not (repairer and repairer.exchanged(parts)):
+                    tokens.update(parts)
             pairs: Counter = Counter()
             for t, n in tokens.items():
                 f = folded(t)
@@ -83,7 +82,13 @@ def pair_model(df: DataFrame, columns: list[str]) -> dict[str, float]:
     are left out by the model of all: the pairs of a garbled text are rarer than those of the original as long as most
     distinct values are clean.
     """
-    values = stored(df.select(F.explode(F.array(*columns)).alias("value")).where("value <> ''").distinct(), "values")
+
+    def countable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(list(map(_countable, batch.column(0).to_pylist())), pa.bool_()))
+
+    values = df.select(F.explode(F.array(*columns)).alias("value")).where("value <> ''").distinct()
+    values = stored(values.mapInArrow(countable, "value string"), "values")
     model = _pairs(values, None)
     for _ in range(ROUNDS):
         model = _pairs(values, model)
@@ -156,6 +161,13 @@ class Repairer:
         self.token = lru_cache(maxsize=200_000)(self._token)
         self.gains = lru_cache(maxsize=200_000)(self._gains)
         self.doubtful = lru_cache(maxsize=200_000)(self._doubtful)
+        self.clean: set[str] = set()  # tokens that were searched and have no cheaper text
+        self.usual_: set[str] = set()  # tokens that no exchange makes cheaper
+
+    def _known(self, found: set[str], token: str) -> None:
+        if len(found) >= 1_000_000:
+            found.clear()
+        found.add(token)
 
     def cost(self, text: str) -> float:
         """Implausibility: minus the logarithms of the pair shares, summed, over what usual pairs have."""
@@ -186,7 +198,15 @@ class Repairer:
 
     def exchanged(self, tokens: list[str]) -> bool:
         """Whether some step between two encodings of the same letters makes the tokens of a value clearly cheaper."""
-        if not any(map(self.doubtful, tokens)):
+        if self.usual_.issuperset(tokens):
+            return False
+        doubtful = False
+        for t in tokens:
+            if self.doubtful(t):
+                doubtful = True
+            else:
+                self._known(self.usual_, t)
+        if not doubtful:
             return False
         return max(map(sum, zip(*(self.gains(t) for t in tokens)))) >= self.gain * 3 + 1
 
@@ -223,7 +243,12 @@ class Repairer:
         if value.isascii() and not ESCAPE.search(value):
             return value, False, True
         tokens = value.split(" ")
+        if self.clean.issuperset(tokens):
+            return value, LOST in value, LOST not in value
         found = [self.token(t) for t in tokens]
+        for t, f in zip(tokens, found):
+            if not f[1]:
+                self._known(self.clean, t)
         # between two encodings of the same letters only enough of them are proof, in one word or in several
         enough = lambda t: sum(map(str.isalpha, t)) >= PROOF_LETTERS or not PLAIN.match(t)
         strong = {p for t, (x, p, g) in zip(tokens, found) if p and g >= self.gain * min(max(len(x), 3), 6) / 2 + 1 and enough(t)}
