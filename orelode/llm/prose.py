@@ -32,6 +32,9 @@ PUBLISHED = {
 # text from which its lines decide.
 ENTRY_CHARS, SURE_ENTRY_CHARS, SHORT_CHARS, SHARE = 100, 60, 70, 0.5
 BLOB = 30  # characters without a blank that are no word
+BROKEN = 0.05  # symbols between two letters for each word, without those that words have, from which words are broken
+SENTENCE_WORDS, SENTENCE_COMMON = 15, 0.15  # words from which prose has the end of a sentence, or this share of common words
+IN_WORDS = "-‐‑–'’./,()"
 BATCH_CHARS = 300_000  # looked at together, so that the arrays stay in the cache
 BULLETS, MENU, CLOSERS, STOPS, ELLIPSIS = "-–—•*·▪●○◦", ">»›/", "\"»”)", ".!?…", "…"
 LETTER, DIGIT, BLANK, UPPER, LOWER, STOP, CLOSER = (1 << i for i in range(7))
@@ -224,6 +227,9 @@ def described_batch(texts: list[str]) -> list[list]:
     dots = (codes == ord(".")) & (np.roll(codes, -1) == ord(".")) & (np.roll(codes, -2) == ord("."))
     marks = count((codes == ord("#")) | (codes == ord(ELLIPSIS)) | dots & ~np.roll(dots, 1))
 
+    within = ~(letter | digit | space) & np.roll(letter, 1) & np.roll(letter, -1) & ~_is(codes, IN_WORDS)
+    broken, stops = count(within), count(b.has(STOP) & np.roll(space, -1))
+
     x = _lines(b)
     doc, size = x["doc"], x["size"]
     lines = per(doc)
@@ -266,6 +272,8 @@ def described_batch(texts: list[str]) -> list[list]:
         nonsense = {
             "empty": total == 0, "junk_lines": junk_share > SHARE, "mostly_symbols": symbols > 0.5 * np.maximum(chars, 1), "mostly_digits": ~structured & (digits > 0.5 * chars) & (chars > 0),
             "few_distinct_words": ~structured & ((n_words >= 10) & (distinct * 5 <= n_words) & (distinct <= 20) | (distinct < 0.04 * n_words)),
+            "broken_words": (n_words > 0) & ((broken > BROKEN * n_words) | ~structured & failed["gopher_mean_word_length"]),
+            "no_sentence": ~structured & (n_words >= SENTENCE_WORDS) & (stops == 0) & (common < SENTENCE_COMMON * n_words),
             "few_common_words": ~structured & (longest > 100) & (n_words >= 10) & (common < 0.05 * n_words) & (ends < 0.3 * lines),
         }
     is_junk = np.logical_or.reduce(list(nonsense.values()))

@@ -283,13 +283,13 @@ def test_classes_of_text(spark):
         "prose": [line, f"{line}\n\n- шлак\n- кек\n\n{line} {line}", "\n".join(line[i : i + 48] for i in range(0, len(line) - 3, 48)), f"– {line}\n– Да, и в цехе это видно."],
         "list": ["\n".join(f"{i}. шлак, обжиг" for i in range(9)), "\n".join(["медный кек", "цинковая пыль - 5 кг", "чан с мешалкой, 2 шт.", "обжиг (6 ч)"] * 3), "[1] Lobo И. Кек: обжиг. 2004. С. 56–108\n[2] Mega В. Шлак: плавка. 1997. С. 30–136"],
         "table": ["a; b; c\n1; 2; 3\n4; 5; 6", "x | y | z\n1 | 2 | 3", "a\tb\n1\t2"],
-        "junk": [words, "12345 67890 " * 30, "=/*;;::~~^^||" * 20, "Назад > Поиск > Каталог\nПечать > Вход > Архив", "Перед " * 40, "aB3" * 60, "", None, "   \n"],
+        "junk": ["С|т~*дни1и смен1 о&^ясня'¦ это с1~,п&л|ым ^кислением %еiе¦аi об'а*ц~ в0лjфрамов.г| раство'а%объёi^м~41", "ян мятчцыирйнэмю рдапыпэ цкрнмручйхщэ бэфя лищ ьфат хгхэахдн и в ъыо жйц щшчк ггрч вбю ьоо", words, "12345 67890 " * 30, "=/*;;::~~^^||" * 20, "Назад > Поиск > Каталог\nПечать > Вход > Архив", "Перед " * 40, "aB3" * 60, "", None, "   \n"],
     }
     rows = [(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in cases.items() for t in ts)]
     df = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, words string")
     found = {r["doc_id"]: r for r in prose.described(df, "doc_id", "text").collect()}
     assert [(t and t[:30], found[i]["text_class"]) for i, t, _ in rows] == [(t and t[:30], k) for _, t, k in rows]
-    deciding = {"empty", "junk_lines", "mostly_symbols", "mostly_digits", "few_distinct_words", "few_common_words", "table_rows", "list_entries"}
+    deciding = {"empty", "junk_lines", "mostly_symbols", "mostly_digits", "few_distinct_words", "few_common_words", "broken_words", "no_sentence", "table_rows", "list_entries"}
     assert all((found[i]["text_class"] == "prose") == (not deciding & set(found[i]["reasons"])) for i, _, _ in rows)
     # a text alone has what it has among others
     for i, t, _ in rows:
