@@ -30,6 +30,7 @@ WORD_COUNT, COMMONER = 3, 4
 LINE_CHARS, LINE_WORDS, NUMBER_CHARS = 80, 8, 40
 # Score from which a replacement counts, and from which it does in texts without tokens of mixed signs, which aren't scanned.
 LEAST_SCORE, CLEAN_SCORE = 0.5, 0.9
+HEADING_SCORE = 0.9  # from which a line that stands as headings do is furniture
 # Letters and what scanning makes of them, for damaging clean words.
 CONFUSED_CYRILLIC = {"о": "0", "з": "3", "б": "6", "ч": "4", "н": "ii", "ш": "iii", "п": "n", "т": "m", "г": "r", "и": "u", "у": "y", "с": "c", "ы": "ьi", "й": "и"}
 CONFUSED_LATIN = {"o": "0", "l": "1", "i": "1", "s": "5", "m": "rn", "e": "c", "b": "6", "g": "9"}
@@ -50,6 +51,7 @@ FIRST_WORD = re.compile(r"[^\W_]+")
 TAIL = re.compile(r"^(.*?[^\W\d_].*?)(\s+)(\d{1,5})$")
 LAST_NUMBER = re.compile(r"\s+\d{1,5}$")
 LETTER = re.compile(r"[^\W\d_]")
+NUMBERED = re.compile(r"\d{1,4}[.)]\s")  # a numbered heading or list entry; a running header is numbered at its end
 CYRILLIC = re.compile("[а-яё]")
 SIGNS = "-¬\xad‐"
 FEATURES = 16
@@ -89,6 +91,8 @@ def candidate_lines(lines: list[str]) -> list[tuple[int, str, list[float], int]]
             m = TAIL.match(x) if x[-1].isdigit() else None
             text = LAST_NUMBER.sub("", m[1]) if m else x
             short = len(x) <= LINE_CHARS and len(text.split()) <= LINE_WORDS or headed_again[LAST_NUMBER.sub("", x) if m else x] > 1
+            if NUMBERED.match(x) and again[x] == 1:
+                continue
             if len(text) >= 4 and short and len(LETTER.findall(text)) * 2 >= len(text):
                 found.append((i, line_key(text), int(m[3]) if m else -1, bool(m) and len(m[2]) >= 2))
     same = Counter(k for _, k, _, _ in found if k)
@@ -430,7 +434,9 @@ def furniture(lines: DataFrame, texts: DataFrame) -> DataFrame:
             f = np.array(batch.column(4).to_pylist(), float).reshape(-1, FEATURES)
             p = model.predict(np.column_stack([f, batch.column(5).to_numpy()]))
             out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(f[:, 12] > 0), pa.array(f[:, 11] > 0), pa.array(p)], names=["id", "line", "key", "value", "wide", "varied", "p"])
-            yield out.filter(pa.array(p >= 0.5))
+            # a line between blank ones that interrupts nothing, with no number or page break near, is more likely a heading
+            heading = (f[:, 6] > 0) & (f[:, 7] > 0) & (f[:, [1, 3, 5, 8]] == 0).all(axis=1) & (f[:, 0] == 0)
+            yield out.filter(pa.array(p >= np.where(heading, HEADING_SCORE, 0.5)))
 
     return rows.mapInArrow(keep, "id long, line int, key string, value long, wide boolean, varied boolean, p double")
 
