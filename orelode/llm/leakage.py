@@ -28,6 +28,7 @@ SEGMENT_CHARS = 2_000_000
 SHARE, LEAST = 0.4, 12  # what of an item must stand in a document: the share of its words, and their least number
 DENSITY = 0.84  # least share of matching words in the span of a stretch, so that few are altered, added or dropped
 SHORTEST = 5  # words of the shorter of two stretches
+CARRIED = 1_000_000  # words of all items up to which every task holds the items; beyond, they are joined to the documents
 GROUP = 512  # items beside one copy of a text, at most
 ANCHORS = 3  # rare words that must agree in one stretch
 
@@ -313,9 +314,15 @@ def leaked(corpus: DataFrame, items: DataFrame, index: DataFrame | None = None,
     """
     index = stored(positional_index(corpus, "doc_id", "text"), "postings") if index is None else index
     query = stored(query_terms(items, share, least).withColumn("item", F.monotonically_increasing_id()), "items")
-    opened = candidates(index, query).join(query, "item")
     # a text travels once for each GROUP items at most, not once for each item
-    opened = stored(opened.groupBy("doc_id", F.expr(f"item div {GROUP}").alias("slot")).agg(F.collect_list(F.struct("item_id", "words", "need")).alias("items")).drop("slot"), "opened")
+    slots = F.expr(f"item div {GROUP}").alias("slot")
+    opened, held = candidates(index, query), None
+    if (query.agg(F.sum(F.size("words"))).first()[0] or 0) <= CARRIED:
+        held = {r["item"]: (r["item_id"], r["words"], r["need"]) for r in query.collect()}
+        opened = opened.groupBy("doc_id", slots).agg(F.collect_list("item").alias("items"))
+    else:
+        opened = opened.join(query, "item").groupBy("doc_id", slots).agg(F.collect_list(F.struct("item_id", "words", "need")).alias("items"))
+    opened = stored(opened.drop("slot"), "opened")
     texts = corpus.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(stored(opened.select("doc_id").distinct(), "ids"), "doc_id", "left_semi")
     rows = texts.join(opened, "doc_id").select("doc_id", "text", "items")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32()), ("words", pa.int32()), ("stretches", pa.int32()), ("exact", pa.bool_())])
@@ -326,9 +333,9 @@ def leaked(corpus: DataFrame, items: DataFrame, index: DataFrame | None = None,
             for doc, text, opened_items in zip(*batch.columns):
                 document = Document(text.as_py() or "")
                 for item in opened_items.as_py():
-                    words = item["words"]
-                    if r := passage(words, document, item["need"]):
-                        found.append((doc.as_py(), item["item_id"], r[0], len(words), r[1], r[2]))
+                    item_id, words, need = held[item] if held is not None else (item["item_id"], item["words"], item["need"])
+                    if r := passage(words, document, need):
+                        found.append((doc.as_py(), item_id, r[0], len(words), r[1], r[2]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(schema.types)], schema=schema)
 
     return rows.mapInArrow(align, "doc_id long, item_id long, matched int, words int, stretches int, exact boolean")

@@ -129,7 +129,7 @@ def test_index_holds_every_term_at_its_place(spark, monkeypatch):
     assert {d: [v[i] for i in range(len(v))] for d, v in rebuilt.items()} == {i: L.tokens(t) for i, t in enumerate(texts) if t}
 
 
-def test_repeated_rows_and_items(spark):
+def test_repeated_rows_and_items(spark, monkeypatch):
     rng = random.Random(6)
     words = [word(rng) for _ in range(30)]
     text = " ".join(words)
@@ -137,3 +137,7 @@ def test_repeated_rows_and_items(spark):
     items = spark.createDataFrame([(7, text, "x"), (7, text, "x"), (8, text, "y"), (9, "раз " * 11, "z")], "item_id long, text string, need string")
     rows = L.leaked(docs, items).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 7), (1, 8), (2, 7), (2, 8)} and all(r["exact"] and r["matched"] == 30 for r in rows)
+    # many items are joined to the documents instead of being held by every task
+    monkeypatch.setattr(L, "CARRIED", 10)
+    monkeypatch.setattr(L, "GROUP", 1)
+    assert sorted(map(tuple, L.leaked(docs, items).collect())) == sorted(map(tuple, rows))
