@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orelode.functions.text import base_variant, result_text, url_encoded, word_set
+from orelode.functions.text import base_variant, condition_text, result_text, url_encoded, word_set
 from orelode.operators import answers as A
 from orelode.operators import graph as G
 from orelode.operators import matrix as M
@@ -15,7 +15,7 @@ from orelode.plans.base import SQL_NORMAL, SQL_ROWS, kept, normal, quoted, range
 from orelode.plans.graphs import SQL as GRAPH_SQL
 from orelode.plans.graphs import SQL_EDGES, SQL_MENTIONS, match_sql, named_sql
 from orelode.plans.graphs import find_facts as found_facts
-from orelode.plans.scalars import _BASE, _PLAIN, _RESULT, _VARIANT
+from orelode.plans.scalars import _BASE, _PLAIN, _RESULT, _VARIANT, CONDITION_TEXTS
 from orelode.session import stored
 from orelode.sources import sinks
 from orelode.sources.tables import table
@@ -278,6 +278,12 @@ def jsonld_fact_rows(spark: SparkSession, folder: str) -> DataFrame:
     return items.select("fact_id", "studied_id", "iri", F.array_join(F.array_sort(F.json_object_keys("item")), ",").alias("keys"))
 
 
+def fact_preview(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts under the headings of a preview, with result and conditions as one text each."""
+    n = normal(spark, folder).select("fact_id", "material", "process", result_text(F.col("result_value"), F.col("result_unit")).alias("result"), condition_text(F.col("conditions")).alias("conditions"))
+    return sinks.labelled(n, {"fact_id": "no", "material": "Material", "process": "Process", "result": "Result", "conditions": "Conditions", "absent": "Absent"})
+
+
 def normalisation_report(spark: SparkSession, folder: str) -> DataFrame:
     """(section, name, n): the parts of the normalisation report."""
     return sinks.report_rows(kept(spark, folder)).select("section", "name", "n")
@@ -289,7 +295,7 @@ QUERIES = {
         top_labels, gap_matrix, matrix_cell_state, matrix_gaps, matrix_margins, cell_examples, matrix_pivot, axis_rollup, histogram_bucket, mode_unit, gap_related, quality_score, confidence_index, coverage_counts,
         normalize_before_after, merge_groups, base_groups, answer_metrics, methods_summary, experts_summary, geo_breakdown, conflicts, gap_rules, confidence_distribution, top_entities, top_sources, dedup_keep_first,
         rank_facts, topk_per_group, evidence_diversified, duplicate_pairs, union_dedup, multi_branch_search, set_difference, sort_multi_key, topk_limit, latest_status, jsonld_rows,
-        condition_matrix, matrix_cell_facts, condition_cell_facts, experiment_groups, answer_summary, jsonld_fact_rows, normalisation_report,
+        condition_matrix, matrix_cell_facts, condition_cell_facts, experiment_groups, answer_summary, jsonld_fact_rows, normalisation_report, fact_preview,
     )
 }
 
@@ -398,6 +404,7 @@ SQL = {
       array_to_string(list_sort(list_filter(['@id', '@type', 'name', CASE WHEN material IS NOT NULL THEN 'material' END, 'process', 'property', 'derivedFrom', CASE WHEN result_value IS NOT NULL THEN 'value' END, CASE WHEN result_unit IS NOT NULL THEN 'unit' END,
         CASE WHEN direction IS NOT NULL THEN 'direction' END, CASE WHEN confidence IS NOT NULL THEN 'confidence' END, 'sourceFile', CASE WHEN source_quote IS NOT NULL THEN 'sourceQuote' END, CASE WHEN year IS NOT NULL THEN 'year' END,
         CASE WHEN location_geo IS NOT NULL THEN 'locationGeo' END, 'geoScope', CASE WHEN lab_or_author IS NOT NULL THEN 'expert' END, CASE WHEN equipment IS NOT NULL THEN 'equipment' END, CASE WHEN len(conditions) > 0 THEN 'conditions' END], lambda x: x IS NOT NULL)), ',') AS keys FROM fr""",
+    "fact_preview": f"""WITH {SQL_NORMAL}, p AS ({CONDITION_TEXTS}) SELECT nf.fact_id AS no, material AS Material, process AS Process, {_RESULT('result_value', 'result_unit')} AS Result, p.conditions AS Conditions FROM nf JOIN p USING (fact_id)""",
     "normalisation_report": f"""WITH {SQL_NORMAL}, {SQL_EDGES}, e AS (SELECT 'material' AS kind, material AS name, material_raw AS raw FROM nf WHERE material IS NOT NULL UNION ALL SELECT 'process', process, process_raw FROM nf WHERE process IS NOT NULL)
       SELECT kind || ' mentions' AS section, NULL AS name, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT kind || ' raw', NULL, count(DISTINCT raw) FROM e GROUP BY 1 UNION ALL SELECT kind || ' canonical', NULL, count(DISTINCT name) FROM e GROUP BY 1
       UNION ALL SELECT 'base group', {_BASE('name')} || CASE WHEN {_VARIANT('name')} IS NOT NULL THEN ': ' || {_VARIANT('name')} ELSE '' END, count(*) FROM e WHERE kind = 'process' GROUP BY 2

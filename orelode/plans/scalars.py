@@ -238,6 +238,8 @@ PARAGRAPHS_SQL = lambda x: rf"list_filter(list_transform(regexp_split_to_array({
 _RESULT = lambda v, u: f"CASE WHEN {v} IS NOT NULL THEN CASE WHEN {u} IS NULL OR contains(lower({v}), lower({u})) THEN {v} ELSE concat_ws(' ', {v}, {u}) END END"
 _YEAR = r"(?:^|[^0-9A-Za-zА-Яа-яЁё_])((?:18|19|20)[0-9]{2})(?:[^0-9A-Za-zА-Яа-яЁё_]|$)"
 
+CONDITION_TEXTS = f"""SELECT fact_id, array_to_string(list_slice(list_filter(list_transform(conditions, lambda c: concat_ws(': ', {clean_sql('c.parameter')}, {_RESULT(f'({clean_sql("c.value")})', f'({clean_sql("c.unit")})')})), lambda x: x <> ''), 1, 4), '; ') AS conditions FROM cf"""
+
 QUERIES = {
     "scan_filter_folder": scan_filter_folder, "ingest_manifest": ingest_manifest, "scan_txt_topn": scan_txt_topn, "jsonl_scan_stats": jsonl_scan_stats, "synonym_resolve": synonym_resolve,
     "quality_status_counts": quality_status_counts, "safe_name": safe_name, "strip_fences": strip_fences, "null_fold": null_fold, "collapse_spaces": collapse_spaces, "doc_clean": doc_clean,
@@ -287,8 +289,7 @@ SQL = {
     "split_words": f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS('source_quote')}) AS word FROM facts) GROUP BY 1",
     "stem_words": f"SELECT word, {_STEM('word')} AS stem FROM (SELECT DISTINCT unnest({_WORDS('material')}) AS word FROM facts)",
     "result_text": f"WITH {SQL_CLEAN} SELECT fact_id, {_RESULT('result_value', 'result_unit')} AS result FROM cf",
-    "condition_text": f"""WITH {SQL_CLEAN}, e AS (SELECT fact_id, list_filter(list_transform(conditions, lambda c: concat_ws(': ', {clean_sql('c.parameter')}, {_RESULT(f'({clean_sql("c.value")})', f'({clean_sql("c.unit")})')})), lambda x: x <> '') AS l FROM cf)
-      SELECT fact_id, array_to_string(list_slice(l, 1, 4), '; ') AS conditions FROM e""",
+    "condition_text": f"WITH {SQL_CLEAN} {CONDITION_TEXTS}",
     "condition_points": f"""WITH {SQL_CLEAN}, e AS (SELECT fact_id, unnest(conditions) AS c, unnest(range(1, len(conditions) + 1)) AS i FROM cf),
       r AS (SELECT fact_id, CAST(i AS BIGINT) AS slot, {range_sql('c.value')} AS l FROM e WHERE contains(lower(c.parameter), 'температура'))
       SELECT fact_id, slot, (list_min(l) + list_max(l)) / 2 AS middle FROM r WHERE len(l) > 0""",

@@ -88,6 +88,11 @@ def jsonld_document(items: Iterable[str], context: dict | None = None) -> str:
     return json.dumps({"@context": context or {"@vocab": "urn:ore:vocabulary:"}, "@graph": [json.loads(x) for x in items]}, ensure_ascii=False, indent=2)
 
 
+def labelled(df: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """The columns of df that labels names, in its order and under its names; columns that df lacks are left out."""
+    return df.select(*[F.col(c).alias(label) for c, label in labels.items() if c in df.columns])
+
+
 def _cell(value: object) -> str:
     return "" if value is None else str(value).replace("|", "\\|").replace("\n", " ")
 
