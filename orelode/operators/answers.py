@@ -11,6 +11,8 @@ from orelode.operators.matrix import KEY
 from orelode.operators.search import FactFilter, find_facts
 from orelode.session import stored
 
+LIMITATIONS = ("put together from the graph, without a model's wording", "facts are extracted automatically and await review", "conflicts are signals to check, not proven contradictions")
+NO_FACTS = "no facts: the answer shows a gap of the corpus only"
 ORDER = ("source_file", "material", "process", "property", "fact_id", "studied_id")
 
 
@@ -177,7 +179,6 @@ def summary_text(rows: DataFrame, title: str, limit: int = 3) -> DataFrame:
 
 def limitations(rows: DataFrame) -> DataFrame:
     """(no, limitation): what an answer from rows can't claim; one more where there are no facts."""
-    always = ("put together from the graph, without a model's wording", "facts are extracted automatically and await review", "conflicts are signals to check, not proven contradictions")
-    base = rows.sparkSession.createDataFrame(list(enumerate(always, 1)), "no int, limitation string")
-    empty = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(4).alias("no"), F.lit("no facts: the answer shows a gap of the corpus only").alias("limitation"))
+    base = rows.sparkSession.createDataFrame(list(enumerate(LIMITATIONS, 1)), "no int, limitation string")
+    empty = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(len(LIMITATIONS) + 1).alias("no"), F.lit(NO_FACTS).alias("limitation"))
     return base.unionByName(empty)

@@ -399,6 +399,11 @@ SQL = {
       AND len(list_filter(conditions, lambda c: contains(lower(c.parameter), 'температура') AND list_max({range_sql('c.value')}) >= 10 AND list_min({range_sql('c.value')}) <= 80.5)) > 0""",
     "experiment_groups": f"""WITH {SQL_NORMAL}, e AS (SELECT material, property, {_RESULT('result_value', 'result_unit')} AS r FROM nf WHERE material IS NOT NULL AND property IS NOT NULL)
       SELECT material, property, count(*) AS facts, array_to_string(list_slice(list_sort(list(DISTINCT r) FILTER (r IS NOT NULL)), 1, 20), '; ') AS result_values FROM e GROUP BY 1, 2""",
+    "answer_summary": f"""WITH {SQL_ROWS}, a AS (SELECT *, TRY_CAST(regexp_extract(year, '^([0-9]{{4}})$', 1) AS INTEGER) AS y FROM fr WHERE process = 'электроэкстракция'),
+      m AS (SELECT count(*) AS n, count(DISTINCT source_file) AS d, min(y) AS y1, max(y) AS y2, count(DISTINCT location_geo) AS g FROM a)
+      SELECT 0 AS no, CASE WHEN n = 0 THEN 'no facts found: widen the corpus or loosen the filters' ELSE n || ' facts from ' || d || ' documents' || CASE WHEN y1 IS NULL THEN '' ELSE ', years ' || y1 || '-' || y2 END
+        || CASE WHEN g > 0 THEN ', places: ' || g ELSE '' END || '; processes: электроэкстракция' END AS text FROM m
+      UNION ALL SELECT i, l FROM (VALUES {', '.join(f'({i}, {quoted(x)})' for i, x in enumerate(A.LIMITATIONS, 1))}) v(i, l) UNION ALL SELECT 4, {quoted(A.NO_FACTS)} FROM m WHERE n = 0""",
     "jsonld_fact_rows": f"""WITH {SQL_ROWS} SELECT fact_id, studied_id, '{IRI}fact:' || left(sha1(concat_ws('|', coalesce('Material:' || material, 'None'), 'Process:' || process, 'Property:' || property, coalesce(result_value, 'None'), source_file,
         coalesce(CAST(chunk_id AS VARCHAR), 'None'), coalesce(source_quote, 'None'))), 16) AS iri,
       array_to_string(list_sort(list_filter(['@id', '@type', 'name', CASE WHEN material IS NOT NULL THEN 'material' END, 'process', 'property', 'derivedFrom', CASE WHEN result_value IS NOT NULL THEN 'value' END, CASE WHEN result_unit IS NOT NULL THEN 'unit' END,
