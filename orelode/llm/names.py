@@ -35,7 +35,8 @@ GIVEN = {
     "ольга": "оля", "светлана": "света", "татьяна": "таня", "robert": "bob rob", "william": "bill will", "richard": "dick rick", "james": "jim", "thomas": "tom", "michael": "mike",
 }
 # Titles before a name.
-TITLES = frozenset("проф профессор д-р др доктор акад академик доц доцент инж инженер г-н г-жа prof dr ктн дтн им имени".split())
+TITLES = frozenset("проф профессор д-р др доктор акад академик доц доцент инж инженер г-н г-жа prof dr ктн дтн".split())
+NAMED_AFTER = ("им", "имени")  # in small letters; in capitals they may be initials
 # Transliteration of Cyrillic letters.
 LATIN = dict(zip("абвгдезийклмнопрстуфхцчшщъыьэюяжё", "a b v g d e z i j k l m n o p r s t u f kh ts ch sh shch  y  e yu ya zh e".split(" ")))
 DIGRAPHS = ("shch", "sh", "ch", "kh", "zh", "ts", "yu", "ya")
@@ -116,13 +117,13 @@ def readings(name: str) -> list[Reading]:
     every = sorted(latin(w) for w in TOKEN.findall(text))
     plain = Reading("words", "other", False, " ".join(every) or latin(name), extra=lab)
     if quoted := QUOTED.search(text):
-        beside = [w for w in TOKEN.findall(QUOTED.sub(" ", text)) if w.lower() not in TITLES]
+        beside = [w for w in TOKEN.findall(QUOTED.sub(" ", text)) if w.lower() not in TITLES and w not in NAMED_AFTER]
         core = "".join(latin(w) for w in re.findall(r"[^\W_]+", quoted[1]))
         return [Reading("quoted", "org", True, core, extra=lab, legal=abbreviated(beside, shouted)), plain] if core else [plain]
     words, initials, spelt = [], [], []
     for m in TOKEN.finditer(text):
         word, dot = m[0], text[m.end() : m.end() + 1] == "."
-        if word.lower() in TITLES:
+        if word.lower() in TITLES or word in NAMED_AFTER:
             continue
         words.append(word)
         if len(word) == 1 or len(word) <= 2 and dot:
