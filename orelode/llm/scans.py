@@ -257,7 +257,7 @@ def replacements(counts: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
         for _ in range(3):
             bad = _damaged(r["word"], rng)
             if bad != r["word"]:
-                made[bad] = (r["word"], int(rng.integers(1, max(2, min(9, r["word_n"] // 20 + 2)))))
+                made[bad] = (r["word"], max(1, int(r["word_n"] * 10 ** -rng.uniform(1, 4.5))))  # a share of the word's count, at any size of the corpus
     training = [(b, n, w) for b, (w, n) in made.items()] + [(r["word"], r["word_n"], "") for r in sample]
     train = spark.createDataFrame(training, "key string, n long, truth string")
     real = counts.where((F.length("key") >= 3) & F.col("key").rlike("[а-яёa-z]")).select("key", "n", F.lit(None).cast("string").alias("truth"))
